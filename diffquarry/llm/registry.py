@@ -1,7 +1,7 @@
 """All queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from . import decontaminate, mixing, rabitq, simhash, token_store
+from . import decontaminate, mixing, rabitq, simhash, token_store, toxicity
 
-_MODULES = (mixing, simhash, rabitq, token_store, decontaminate)
+_MODULES = (mixing, simhash, rabitq, token_store, toxicity, decontaminate)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
