@@ -14,7 +14,7 @@ from .components import components
 #: Characters of a unit that are cut out at once when it is shingled.
 PIECE = 64
 #: Shingles of a unit from which its signature is made, to within a factor of two; fewer if it has fewer.
-SAMPLED = 64
+SAMPLED = 48
 
 
 def tune(threshold: float, rows: int, recall: float) -> int:
@@ -50,20 +50,22 @@ def _level(n: Column) -> Column:
 def band_keys(shingles: Column, bands: int, rows: int, threshold: float, seed: int) -> Column:
     """Keys under which a unit meets others: a hash of rows MinHash values for each band.
 
-    A MinHash value is the least hash after XOR with a fixed mask. Large sets are thinned by the low bits of the hashes,
-    by a level that depends on their size; a set whose partner may be on the next level is signed on both.
+    A MinHash value is the least of 31 bits of the hashes after a fixed odd multiplier. Large sets are thinned by the low
+    bits of the hashes, by a level that depends on their size; a set whose partner may be on the next level is signed on
+    both.
     """
     rnd = random.Random(seed)
-    masks = [[rnd.getrandbits(63) - (1 << 62) for _ in range(rows)] for _ in range(bands)]
+    odd = [[rnd.getrandbits(31) | (1 << 30) | 1 for _ in range(rows)] for _ in range(bands)]
 
     def signed(level, held):
-        least = lambda m: F.array_min(F.transform(held, lambda h: h.bitwiseXOR(F.lit(m))))
-        return F.array(*[F.xxhash64(F.lit(j), level, *[least(m) for m in band]) for j, band in enumerate(masks)])
+        least = lambda m: F.array_min(F.transform(held, lambda x: (x * F.lit(m).cast("long")).bitwiseAND(F.lit((1 << 31) - 1))))
+        return F.array(*[F.xxhash64(F.lit(j), level, *[least(m) for m in band]) for j, band in enumerate(odd)])
 
     def thinned(all_):
         n = F.size(all_)
         levels = F.array_distinct(F.array(_level(n), _level(n / threshold)))
-        halves = F.transform(levels, lambda v: F.struct(v.alias("l"), F.filter(all_, lambda h: F.pmod(h, F.pow(F.lit(2.0), v).cast("long")) == 0).alias("h")))
+        few = lambda v: F.filter(all_, lambda h: F.pmod(h, F.pow(F.lit(2.0), v).cast("long")) == 0)
+        halves = F.transform(levels, lambda v: F.struct(v.alias("l"), F.transform(few(v), lambda h: F.shiftrightunsigned(h, 33)).alias("h")))
         return F.flatten(F.transform(halves, lambda s: signed(s["l"], s["h"])))
 
     return F.flatten(F.transform(F.array(shingles), thinned))
