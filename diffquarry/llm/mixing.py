@@ -7,7 +7,7 @@ import random
 from fractions import Fraction
 from math import gcd
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -105,8 +105,13 @@ def _selection(size: int, words: int, block: int, rnd: random.Random) -> tuple[i
     return passes, n, a, b, full, part
 
 
+def _row_hash(docs: DataFrame, key: str, text: str, source: str, seed: int) -> Column:
+    """Where a row stands in the seeded order; equal for rows of one key, text and source only."""
+    return F.xxhash64(F.lit(seed), docs[key], F.coalesce(docs[text], F.lit("")), docs[source])
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", cycle: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
-    """(key, source, size, source_size, target, taken) for every row: how many words the mix takes of each.
+    """(key, source, size, source_size, target, taken, h) for every row: how many words the mix takes of each.
 
     size: words of the text, 0 for null or empty. Sources weigh cycle, repeating, by code point with null last, and
     share share times all words; no target is above most times its source, the excess reshared by weight.
@@ -119,7 +124,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     if share > most:
         raise ValueError("share can't exceed most")
     spark = docs.sparkSession
-    sized = docs.select(F.col(key).alias("k"), F.col(source).alias("s"), F.size(blank_words(F.col(text), lower=False)).cast("long").alias("size"), F.xxhash64(F.lit(seed), key, F.coalesce(text, F.lit(""))).alias("h"))
+    sized = docs.select(F.col(key).alias("k"), F.col(source).alias("s"), F.size(blank_words(F.col(text), lower=False)).cast("long").alias("size"), _row_hash(docs, key, text, source, seed).alias("h"))
     sized = materialize(sized, "sizes")
     totals = sized.groupBy("s").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
@@ -158,13 +163,17 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     first, last = F.floor(F.col("start") / one), F.floor((end - 1) / one)
     parts = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda acc, i: acc + overlap(i))
     taken = F.when((F.col("size") > 0) & F.col("n").isNotNull(), F.col("passes") * F.col("size") + parts).otherwise(F.lit(0).cast("long"))
-    return chosen.select(F.col("k").alias(key), F.col("s").alias(source), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return chosen.select(F.col("k").alias(key), F.col("s").alias(source), "size", "source_size", "target", taken.cast("long").alias("taken"), "h")
 
 
-def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs with a column taken, for those rows of which the mix takes a word or more. Needs unique keys."""
-    taken = mix(docs, key, text, **how).filter("taken > 0").select(F.col(key).alias("__k"), "taken")
-    return docs.join(taken, docs[key] == taken["__k"]).drop("__k")
+def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, **how) -> DataFrame:
+    """The mix as whole documents: each row of docs as often as its taken words make up its text, rounded; columns of docs.
+
+    Rows of which less than half is taken don't occur, nor do rows without words. Equal rows share alike.
+    """
+    drawn = mix(docs, key, text, source, seed=seed, **how).filter("size > 0").groupBy("h").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("__n")).filter("__n > 0").withColumnRenamed("h", "__h")
+    joined = docs.join(drawn, _row_hash(docs, key, text, source, seed) == F.col("__h"))
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy")).drop("__copy")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
