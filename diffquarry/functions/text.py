@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # All code points that count as white space, as a class for Java's regular expressions.
-WS = r"[\s\x1c-\x1f\x85\xa0  -     　]"
+WS = r"[\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 # Line ends.
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 # What looks like a credential and is replaced in messages.
 KEY_LIKE = r"(sk-[A-Za-z0-9_-]{8,}|nvapi-[A-Za-z0-9_-]{8,}|gh[pousr]_[A-Za-z0-9]{8,}|AKIA[0-9A-Z]{12,}|Bearer\s+\S+|[A-Za-z0-9_-]{32,})"
 REDACTED = "[redacted]"
@@ -38,6 +38,14 @@ def strip_space(text: Column) -> Column:
     return F.regexp_replace(text, WS, "")
 
 
+def gram_hashes(text: Column, width: int) -> Column:
+    """Hashes of all runs of width characters; none for a shorter text. Cut piecewise, as characters are found by counting."""
+    piece, starts = 64, F.length(text) - width + 1
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((starts - 1) / piece).cast("int")), lambda c: F.substring(text, c * piece + 1, F.lit(piece + width - 1)))
+    found = F.flatten(F.transform(pieces, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - width + 1), lambda i: F.xxhash64(F.substring(p, i, F.lit(width))))))
+    return F.when(starts >= 1, found).otherwise(F.array().cast("array<bigint>"))
+
+
 def estimate_tokens(text: Column) -> Column:
     """length / 3.5 rounded down, 1 at least."""
     return F.greatest(F.lit(1), F.floor(F.length(text) / CHARS_PER_TOKEN)).cast("int")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import clamp, combined_confidence, score, strip_space
+from ..functions.text import clamp, combined_confidence, gram_hashes, score, strip_space
 
 # The shortest quotation that proves anything, the threshold, the cap.
 SHORTEST_QUOTE, LEAST_CONFIDENCE, MOST_POSTED = 8, 0.7, 10
@@ -14,20 +14,23 @@ STAGES = ("hallucination", "bad_location", "dedupe", "low_confidence")
 RANKED_OUT = "ranked_out"
 
 
-def quotes(needles: DataFrame, evidence: DataFrame, needle: str = "quoted_code", text: str = "text", gram: int = SHORTEST_QUOTE) -> DataFrame:
-    """Rows of needles whose quotation, without white space, is a part of some row of evidence, without white space.
+def containment(needles: DataFrame, evidence: DataFrame, needle: str = "quoted_code", text: str = "text", gram: int = SHORTEST_QUOTE) -> DataFrame:
+    """Pairs of a row of needles and a row of evidence (columns e_*) whose text holds the quotation, white space apart.
 
-    Quotations under 8 characters never count. A first join on one gram of each needle (its hash-smallest one) finds
-    candidates by equality, so no needle meets a text that lacks it; contains() then decides. Evidence texts expand
-    into their distinct grams, once.
+    Quotations under 8 characters never count. Each needle is posted under one gram, that of the least hash; evidence
+    meets it by equality of a gram that it holds, so no needle meets a text that lacks it; contains() then decides.
     """
-    numbered = needles.withColumn("__bare", strip_space(F.coalesce(F.col(needle), F.lit("")))).filter(F.length("__bare") >= gram)
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - gram + 1), lambda i: F.xxhash64(F.substring(c, i, F.lit(gram))))
-    wanted = numbered.withColumn("__gram", F.array_min(grams(F.col("__bare"))))
-    texts = evidence.select(strip_space(F.coalesce(F.col(text), F.lit(""))).alias("__text")).filter(F.length("__text") >= gram)
-    probes = wanted.select(F.col("__gram").alias("__g")).distinct()
-    near = texts.select("__text", F.explode(F.array_distinct(grams(F.col("__text")))).alias("__g")).join(probes, "__g", "left_semi")
-    return wanted.join(near, (wanted["__gram"] == near["__g"]) & near["__text"].contains(wanted["__bare"]), "left_semi").drop("__bare", "__gram")
+    bare = needles.withColumn("__bare", strip_space(F.coalesce(F.col(needle), F.lit("")))).filter(F.length("__bare") >= gram)
+    wanted = bare.withColumn("__gram", F.array_min(gram_hashes(F.col("__bare"), gram)))
+    texts = evidence.select(*[F.col(c).alias(f"e_{c}") for c in evidence.columns], strip_space(F.coalesce(F.col(text), F.lit(""))).alias("__text"))
+    posted = texts.select("*", F.explode(F.array_distinct(gram_hashes(F.col("__text"), gram))).alias("__gram"))
+    return posted.join(wanted, "__gram").filter(F.col("__text").contains(F.col("__bare"))).drop("__gram", "__text", "__bare")
+
+
+def quotes(needles: DataFrame, evidence: DataFrame, needle: str = "quoted_code", text: str = "text") -> DataFrame:
+    """Rows of needles that some row of evidence holds."""
+    found = containment(needles.select(needle).distinct(), evidence.select(text), needle, text).select(needle).distinct()
+    return needles.join(found, needle, "left_semi")
 
 
 def quote_in(quote: Column, texts: Column) -> Column:
