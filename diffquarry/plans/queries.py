@@ -126,7 +126,7 @@ def q08_nearby_hash(spark, sf_dir):
 
 def _candidates(spark, sf_dir):
     docs, labels = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")
-    memory = docs.filter("doc_id % 90 = 7").select(text.content_hash(F.col("text")).alias("fingerprint")).distinct().withColumn("in_memory", F.lit(True))
+    memory = docs.filter("lang = 'es'").select(text.content_hash(F.col("text")).alias("fingerprint")).distinct().withColumn("in_memory", F.lit(True))
     rows = docs.join(labels, "doc_id", "left").select(
         F.col("source").alias("review"), F.col("doc_id").alias("ord"), text.content_hash(F.col("text")).alias("fingerprint"), (F.col("n_chars") >= 200).alias("quote_ok"), (F.col("doc_id") % 7 != 0).alias("loc_ok"),
         F.when(F.col("doc_id") % 60 == 1, "checked").alias("proof"), F.element_at(F.array(*map(F.lit, ("critical", "high", "medium", "low"))), (F.col("doc_id") % 4 + 1).cast("int")).alias("severity"),
@@ -138,7 +138,7 @@ def _candidates(spark, sf_dir):
 _GATE = f"""
 WITH c AS (SELECT d.source AS review, d.doc_id AS ord, {_HASH.format('d.text')} AS fp, d.n_chars >= 200 AS quote_ok, d.doc_id % 7 <> 0 AS loc_ok, d.doc_id % 60 = 1 AS proven,
 CAST(4 - d.doc_id % 4 AS INTEGER) AS weight, (d.n_chars % 40 + 61) / 100 AS conf, coalesce(l.quality, 1) = 1 AND coalesce(l.toxic, 0) = 0 AS agreed,
-{_HASH.format('d.text')} IN (SELECT {_HASH.format('text')} FROM documents WHERE doc_id % 90 = 7) AS mem FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+{_HASH.format('d.text')} IN (SELECT {_HASH.format('text')} FROM documents WHERE lang = 'es') AS mem FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
 s AS (SELECT *, CASE WHEN proven THEN least(1.0, conf) WHEN agreed THEN least(1.0, conf) * 0.9 ELSE 0.0 END AS sure FROM c),
 o AS (SELECT *, quote_ok AND loc_ok AND (proven OR sure >= 0.7) AS ok FROM s),
 f AS (SELECT *, min(CASE WHEN ok AND NOT mem THEN ord END) OVER (PARTITION BY review, fp) AS first_ok FROM o),
@@ -197,36 +197,36 @@ def q13_latest_lookup(spark, sf_dir):
 
 
 @query("""
-WITH old AS (SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events WHERE event_id % 3 = 0 GROUP BY ALL),
-new AS (SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events WHERE event_id % 3 = 1 GROUP BY ALL)
+WITH old AS (SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events WHERE event_id % 2 = 0 GROUP BY ALL),
+new AS (SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events WHERE event_id % 2 = 1 GROUP BY ALL)
 SELECT coalesce(n.user_id, o.user_id) AS user_id, coalesce(n.event_type, o.event_type) AS event_type, coalesce(n.value, o.value) AS value
 FROM old o FULL JOIN new n ON n.user_id = o.user_id AND n.event_type = o.event_type
 """)
 def q14_upsert_latest(spark, sf_dir):
     events, keys = _t(spark, sf_dir, "events"), ["user_id", "event_type"]
-    part = lambda r: store.latest(events.filter(f"event_id % 3 = {r}"), keys, ["event_id"]).select(*keys, "value")
+    part = lambda r: store.latest(events.filter(f"event_id % 2 = {r}"), keys, ["event_id"]).select(*keys, "value")
     return store.upsert(part(0), part(1), keys)
 
 
 @query("""
-WITH o AS (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS fingerprint FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL),
-n AS (SELECT l_orderkey, l_linenumber, fingerprint FROM o WHERE l_orderkey % 2 = 0 AND l_linenumber <> 2)
+WITH o AS (SELECT l_orderkey, l_linenumber, min(l_suppkey % 4) AS fingerprint, min(l_returnflag) AS flag FROM lineitem GROUP BY l_orderkey, l_linenumber),
+n AS (SELECT l_orderkey, l_linenumber, fingerprint FROM o WHERE flag <> 'R')
 SELECT n.l_orderkey, n.l_linenumber AS old_line, CAST((SELECT min(m.l_linenumber) FROM n m WHERE m.l_orderkey = n.l_orderkey AND m.fingerprint = n.fingerprint) AS INTEGER) AS new_line
-FROM o n WHERE n.l_linenumber % 2 = 1 AND EXISTS (SELECT 1 FROM n m WHERE m.l_orderkey = n.l_orderkey AND m.fingerprint = n.fingerprint)
+FROM o n WHERE EXISTS (SELECT 1 FROM n m WHERE m.l_orderkey = n.l_orderkey AND m.fingerprint = n.fingerprint)
 """)
 def q15_reattach(spark, sf_dir):
-    lines = _t(spark, sf_dir, "lineitem").filter("l_linenumber <= 3").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("fingerprint"))
+    lines = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.col("l_suppkey") % 4).alias("fingerprint"), F.min("l_returnflag").alias("flag"))
     old = lines.withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    new = old.filter("l_orderkey % 2 = 0 and l_linenumber <> 2").withColumn("posted", F.lit(True))
-    feedback = old.filter("l_linenumber % 2 = 1").select(F.col("id").alias("finding_id"), F.col("l_linenumber").alias("old_line"), F.col("l_orderkey").alias("order"))
+    new = old.filter("flag <> 'R'").withColumn("posted", F.lit(True))
+    feedback = old.select(F.col("id").alias("finding_id"), F.col("l_linenumber").alias("old_line"), F.col("l_orderkey").alias("order"))
     found = store.reattach(feedback, old, new, ["l_orderkey"])
     return found.select(F.col("order").alias("l_orderkey"), "old_line", (F.col("finding_id") - F.col("order") * 10).cast("int").alias("new_line"))
 
 
-@query(f"SELECT doc_id FROM documents WHERE {_HASH.format('text')} NOT IN (SELECT {_HASH.format('text')} FROM documents WHERE doc_id % 3 = 0)")
+@query(f"SELECT doc_id FROM documents WHERE {_HASH.format('text')} NOT IN (SELECT {_HASH.format('text')} FROM documents WHERE lang = 'en')")
 def q16_unseen(spark, sf_dir):
-    rows = _t(spark, sf_dir, "documents").select("doc_id", text.content_hash(F.col("text")).alias("fingerprint"))
-    return gate.unseen(rows, rows.filter("doc_id % 3 = 0"), ["fingerprint"]).select("doc_id")
+    rows = _t(spark, sf_dir, "documents").select("doc_id", "lang", text.content_hash(F.col("text")).alias("fingerprint"))
+    return gate.unseen(rows, rows.filter("lang = 'en'"), ["fingerprint"]).select("doc_id")
 
 
 @query("""
@@ -247,13 +247,13 @@ _PATH = r"regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')"
 @query(f"""
 WITH p AS (SELECT page_id, {_PATH} AS path, string_split({_PATH}, '/') AS parts FROM pages),
 x AS (SELECT a.page_id AS origin, b.page_id, b.path, len(list_filter(range(1, least(len(a.parts), len(b.parts))), lambda i: a.parts[1:i] = b.parts[1:i])) AS depth
-FROM p a JOIN p b ON a.page_id % 10 = 0 AND a.page_id <> b.page_id AND a.parts[-2] = b.parts[-2])
+FROM p a JOIN p b ON a.page_id % 20 = 0 AND a.page_id <> b.page_id AND a.parts[-2] = b.parts[-2])
 SELECT origin, page_id, CAST(depth AS INTEGER) AS depth, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY depth DESC, path, page_id) AS place FROM x) WHERE place <= 5
 """)
 def q18_nearest_paths(spark, sf_dir):
     path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
     pages = _t(spark, sf_dir, "pages").select("page_id", path.alias("path"), F.element_at(F.split(path, "/"), -2).alias("lang"))
-    asked = pages.filter("page_id % 10 = 0").select(F.col("page_id").alias("origin"), F.col("path").alias("from_path"), "lang")
+    asked = pages.filter("page_id % 20 = 0").select(F.col("page_id").alias("origin"), F.col("path").alias("from_path"), "lang")
     met = asked.join(pages, "lang").filter("origin <> page_id")
     return intervals.nearest_paths(met, ["origin"], "from_path", "path", ["page_id"], 5).select("origin", "page_id", "depth", "place")
 
@@ -268,19 +268,20 @@ def q19_called_names(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 100 + 1 AS dst FROM lineitem WHERE l_linenumber = 1 AND l_suppkey % 4 = 0),
+WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 100 + 1 AS dst FROM lineitem),
 r AS (SELECT 4 AS seed, CAST(4 AS BIGINT) AS node, 0 AS hop UNION SELECT r.seed, e.dst, r.hop + 1 FROM r JOIN e ON e.src = r.node WHERE r.hop < 3)
 SELECT seed, node, min(hop) AS hop FROM r WHERE NOT (hop > 0 AND node = 4) GROUP BY seed, node HAVING min(hop) > 0
 """)
 def q20_bounded_hops(spark, sf_dir):
-    edges = _t(spark, sf_dir, "lineitem").filter("l_linenumber = 1 and l_suppkey % 4 = 0").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100 + 1).alias("dst"))
+    edges = _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100 + 1).alias("dst"))
     seeds = edges.sparkSession.range(4, 5).select(F.col("id").alias("node"))
     return intervals.k_hops(seeds, edges, 3).select(F.col("seed").cast("int").alias("seed"), "node", "hop")
 
 
-@query("SELECT p_partkey, name FROM (SELECT p_partkey, p_brand || '-' || p_size AS name, count(*) OVER (PARTITION BY p_brand || '-' || p_size) AS n FROM part WHERE p_partkey % 7 = 0) WHERE n = 1")
+@query("SELECT p_partkey, name FROM (SELECT p_partkey, p_brand || '-' || p_size AS name, count(*) OVER (PARTITION BY p_brand || '-' || p_size, p_type) AS n FROM part) WHERE n = 1")
 def q21_unique_names(spark, sf_dir):
-    return intervals.unique_only(_t(spark, sf_dir, "part").filter("p_partkey % 7 = 0").select("p_partkey", F.concat_ws("-", "p_brand", "p_size").alias("name")), "name")
+    name = F.concat_ws("-", "p_brand", "p_size")
+    return intervals.unique_only(_t(spark, sf_dir, "part").select("p_partkey", name.alias("name"), F.struct(name, "p_type").alias("whole")), "whole").select("p_partkey", "name")
 
 
 @query("""
