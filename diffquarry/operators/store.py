@@ -23,10 +23,10 @@ def latest(rows: DataFrame, keys: list[str], newest: list[str]) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows of old and new; where keys meet, new's row with old's values of the columns in keep."""
     if not keep:
-        return old.join(new, keys, "left_anti").unionByName(new)
+        return old.join(new, keys, "left_anti").unionByName(new).select(*new.columns)
     kept = old.select(*keys, *[F.col(c).alias(f"__{c}") for c in keep])
     merged = new.join(kept, keys, "left").select(*[F.coalesce(f"__{c}", F.col(c)).alias(c) if c in keep else F.col(c) for c in new.columns])
-    return old.join(new, keys, "left_anti").unionByName(merged)
+    return old.join(new, keys, "left_anti").unionByName(merged).select(*new.columns)
 
 
 def assign_ids(rows: DataFrame, order: list[str], after: int = 0, name: str = "id") -> DataFrame:
