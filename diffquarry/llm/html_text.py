@@ -27,6 +27,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
+#: Strong evidence against outweighs all evidence for; evidence for adds up to 4 at most.
 #: Evidence for (above 0) or against an article in the tags, roles and names around a block, in nats.
 TAG_COST = {"article": 4.0, "main": 3.0, "nav": -8.0, "footer": -8.0, "aside": -8.0, "form": -8.0, "menu": -8.0, "dialog": -8.0, "header": -4.0, "fieldset": -6.0, "address": -1.0}
 ROLE_COST = {"main": 3.0, "article": 4.0, "navigation": -8.0, "banner": -6.0, "contentinfo": -8.0, "complementary": -8.0, "search": -8.0, "dialog": -8.0, "alert": -8.0, "alertdialog": -8.0, "menu": -8.0, "menubar": -8.0, "form": -8.0}
@@ -136,7 +137,8 @@ def blocks(page: str) -> list[Block]:
                 if hidden:
                     stack.append(("\0hidden", cost, inside, number))
                     silent += 1
-                stack.append((tag, cost + nats, (inside or tag in ("article", "main")) and nats > -8, number))
+                cost = min(cost, nats, 0.0) if min(cost, nats) < -3 else min(4.0, cost + nats)
+                stack.append((tag, cost, (inside or tag in ("article", "main")) and nats > -8, number))
                 links += tag == "a"
                 silent += tag in SILENT
                 if tag in RAW:
