@@ -111,7 +111,7 @@ def _row_hash(docs: DataFrame, key: str, text: str, source: str, seed: int) -> C
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", cycle: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
-    """(key, source, size, source_size, target, taken, h) for every row: how many words the mix takes of each.
+    """(key, source, size, source_size, target, taken, h, shard) for every row: how many words the mix takes of each.
 
     size: words of the text, 0 for null or empty. Sources weigh cycle, repeating, by code point with null last, and
     share share times all words; no target is above most times its source, the excess reshared by weight.
@@ -151,7 +151,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     plan = spark.createDataFrame(rows, T.StructType([T.StructField("s", docs.schema[source].dataType), T.StructField("shard", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("passes", "n", "a", "b", "full", "part"))]))
     w = Window.partitionBy("s", "shard").orderBy("h", "k", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("start", F.coalesce(F.sum("size").over(w), F.lit(0)))
-    chosen = placed.join(F.broadcast(plan), placed["s"].eqNullSafe(plan["s"]) & (placed["shard"] == plan["shard"]), "left").drop(plan["s"]).drop(plan["shard"])
+    chosen = placed.join(F.broadcast(plan), placed["s"].eqNullSafe(plan["s"]) & (placed["shard"] == plan["shard"]), "left").drop(plan["s"]).drop(plan["shard"]).withColumn("own_shard", F.col("shard"))
     one = F.lit(block).cast("long")
     end = F.col("start") + F.col("size")
 
@@ -163,15 +163,22 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     first, last = F.floor(F.col("start") / one), F.floor((end - 1) / one)
     parts = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda acc, i: acc + overlap(i))
     taken = F.when((F.col("size") > 0) & F.col("n").isNotNull(), F.col("passes") * F.col("size") + parts).otherwise(F.lit(0).cast("long"))
-    return chosen.select(F.col("k").alias(key), F.col("s").alias(source), "size", "source_size", "target", taken.cast("long").alias("taken"), "h")
+    return chosen.select(F.col("k").alias(key), F.col("s").alias(source), "size", "source_size", "target", taken.cast("long").alias("taken"), "h", "own_shard").withColumnRenamed("own_shard", "shard")
 
 
 def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, **how) -> DataFrame:
-    """The mix as whole documents: each row of docs as often as its taken words make up its text, rounded; columns of docs.
+    """The mix as whole documents: each row of docs never, once or more often; the columns are those of docs.
 
-    Rows of which less than half is taken don't occur, nor do rows without words. Equal rows share alike.
+    Within a shard rows are ordered by size and the shares of their texts that the mix takes are added up; a row occurs as
+    often as that sum passes a whole number, so a shard's words come within about one document of what the mix takes.
+    Rows without words don't occur. Equal rows share alike.
     """
-    drawn = mix(docs, key, text, source, seed=seed, **how).filter("size > 0").groupBy("h").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("__n")).filter("__n > 0").withColumnRenamed("h", "__h")
+    upto = Window.partitionBy("source", "shard").orderBy("size", "h", "taken").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    named = mix(docs, key, text, source, seed=seed, **how).filter("size > 0").withColumnRenamed(source, "source")
+    share = F.col("taken") / F.col("size")
+    passed = named.withColumn("__sum", F.round(F.sum(share).over(upto), 9)).withColumn("__share", share)
+    drawn = passed.withColumn("__n", F.floor(F.col("__sum") + 0.5) - F.floor(F.round(F.col("__sum") - F.col("__share"), 9) + 0.5))
+    drawn = drawn.groupBy("h").agg(F.round(F.avg("__n")).cast("int").alias("__n")).filter("__n > 0").withColumnRenamed("h", "__h")
     joined = docs.join(drawn, _row_hash(docs, key, text, source, seed) == F.col("__h"))
     return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy")).drop("__copy")
 
