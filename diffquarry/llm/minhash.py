@@ -2,44 +2,48 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialize
 from .components import components
 
-#: Characters of a unit that are cut out at once when it is shingled.
-PIECE = 64
 #: Shingles of a unit from which its signature is made, to within a factor of two; fewer if it has fewer.
 SAMPLED = 48
 
 
 def tune(threshold: float, rows: int, recall: float) -> int:
-    """The fewest bands of rows values by which pairs of that similarity meet with that probability."""
+    """Bands of rows values, a power of two, by which pairs of that similarity meet with that probability at least."""
     bands = 1
     while 1 - (1 - threshold**rows) ** bands < recall:
-        bands += 1
+        bands *= 2
     return bands
 
 
+def _runs(text: Column, pattern: str) -> Column:
+    """What a pattern's group holds at each place where it matches; the whole text if nowhere."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(text))
+
+
 def character_shingles(text: Column, width: int) -> Column:
-    """Hashes of all runs of width characters, repeats included; a shorter text is one shingle.
+    """All runs of width characters, repeats included; a shorter text is one shingle."""
+    return _runs(text, rf"(?s)(?=(.{{{width}}}))")
 
-    The text is cut into overlapping pieces first, since a character is found by counting from the start.
-    """
-    starts = F.greatest(F.lit(1), F.length(text) - width + 1)
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((starts - 1) / PIECE).cast("int")), lambda c: F.substring(text, c * PIECE + 1, F.lit(PIECE + width - 1)))
-    return F.flatten(F.transform(pieces, lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(p) - width + 1)), lambda i: F.xxhash64(F.substring(p, i, F.lit(width))))))
+
+def anchored_shingles(text: Column, width: int, long: int = 24) -> Column:
+    """Those runs of width characters that start a word, and all inside words of more than long characters."""
+    starts = _runs(text, rf"(?s)(?:^| )(?=([^ ].{{0,{width - 1}}}))")
+    words = F.regexp_extract_all(text, F.lit(rf"(?:^| )([^ ]{{{long + 1},}})"), F.lit(1))
+    return F.concat(starts, F.flatten(F.transform(words, lambda w: character_shingles(w, width))))
 
 
 def word_shingles(text: Column, width: int) -> Column:
-    """Hashes of all runs of width words of a text with single spaces; a shorter text is one shingle."""
-    whole = F.array(F.split(text, " "))
-    runs = F.transform(whole, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - width + 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, width), " "))))
-    return F.flatten(runs)
+    """All runs of width words of a text with single spaces; a shorter text is one shingle."""
+    return _runs(text, rf"(?:^| )(?=((?:[^ ]+ ){{{width - 1}}}[^ ]+))")
 
 
 def _level(n: Column) -> Column:
@@ -47,53 +51,58 @@ def _level(n: Column) -> Column:
     return F.greatest(F.lit(0), F.floor(F.log2(n / F.lit(float(SAMPLED))))).cast("int")
 
 
-def band_keys(shingles: Column, bands: int, rows: int, threshold: float, seed: int) -> Column:
-    """Keys under which a unit meets others: a hash of rows MinHash values for each band.
+def band_keys(shingles: Column, bands: int, rows: int, threshold: float) -> Column:
+    """Keys under which a unit meets others: a hash of the MinHash values of each band; bands and rows are powers of two.
 
-    A MinHash value is the least of 31 bits of the hashes after a fixed odd multiplier. Large sets are thinned by the low
-    bits of the hashes, by a level that depends on their size; a set whose partner may be on the next level is signed on
-    both.
+    One-permutation MinHash: the hashes' top bits deal them out to bands * rows bins, of which the least hash of each is a
+    value. A band is rows neighbouring bins; its key is made of the rows values from its first bin that isn't empty on,
+    around the end; a set of fewer values gives them all, so small sets never meet on a part of a key.
+    Large sets are thinned by the low bits first, by a level that depends on their size; a set whose partner may be on the
+    next level is signed on both.
     """
-    rnd = random.Random(seed)
-    odd = [[rnd.getrandbits(31) | (1 << 30) | 1 for _ in range(rows)] for _ in range(bands)]
+    of_bin, of_band = 64 - (bands * rows - 1).bit_length(), 64 - (bands - 1).bit_length()
+    each = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  f of a value that is worked out once
 
     def signed(level, held):
-        least = lambda m: F.array_min(F.transform(held, lambda x: (x * F.lit(m).cast("long")).bitwiseAND(F.lit((1 << 31) - 1))))
-        return F.array(*[F.xxhash64(F.lit(j), level, *[least(m) for m in band]) for j, band in enumerate(odd)])
+        new = lambda v, shift: lambda x, i: (i == 0) | (F.shiftrightunsigned(x, shift) != F.shiftrightunsigned(F.get(v, i - 1), shift))
+        least = lambda v: F.filter(v, new(v, of_bin))
+        keys = lambda v: F.transform(v, lambda x, i: F.when(new(v, of_band)(x, i), F.xxhash64(level, F.shiftrightunsigned(x, of_band), F.slice(F.concat(v, v), i + 1, F.least(F.lit(rows), F.size(v))))))
+        return F.array_compact(each(each(F.sort_array(held), least), keys))
 
     def thinned(all_):
         n = F.size(all_)
         levels = F.array_distinct(F.array(_level(n), _level(n / threshold)))
-        few = lambda v: F.filter(all_, lambda h: F.pmod(h, F.pow(F.lit(2.0), v).cast("long")) == 0)
-        halves = F.transform(levels, lambda v: F.struct(v.alias("l"), F.transform(few(v), lambda h: F.shiftrightunsigned(h, 33)).alias("h")))
-        return F.flatten(F.transform(halves, lambda s: signed(s["l"], s["h"])))
+        masks = F.transform(levels, lambda v: F.pow(F.lit(2.0), v).cast("long") - 1)
+        return F.flatten(F.transform(masks, lambda m: signed(m, F.when(m == 0, all_).otherwise(F.filter(all_, lambda h: h.bitwiseAND(m) == 0)))))
 
-    return F.flatten(F.transform(F.array(shingles), thinned))
+    return each(shingles, thinned)
 
 
-def similarity_links(units: DataFrame, shingles: Callable[[Column], Column], threshold: float, bands: int, rows: int, seed: int = 5) -> DataFrame:
-    """(a, b): links of exact Jaccard threshold or more between units (id, text), enough to connect all that the
+def similarity_links(units: DataFrame, signed: Callable[[Column], Column], exact: Callable[[Column], Column], threshold: float, bands: int, rows: int) -> DataFrame:
+    """(a, b): links of exact Jaccard threshold or more between units (id, text, n), enough to connect all that the
     colliding pairs connect.
 
-    In each bucket all members are compared with one pivot. Those that match it are connected and needn't meet each
-    other; those that don't are compared with every member. So a bucket of m near copies makes m pairs, not m^2.
+    signed: the shingles that are hashed into the signature; exact: those whose sets are compared. n: how often a unit
+    occurs. In each bucket all members are compared with one pivot, the most frequent unit, which near copies are made
+    from. Those that match it are connected and needn't meet each other; those that don't are compared with every member.
+    So a bucket of m near copies of one text makes about m pairs, not m^2.
     """
-    keyed = units.select("id", F.explode(band_keys(shingles(F.col("text")), bands, rows, threshold, seed)).alias("band"))
-    keyed = materialize(keyed, "bands")
-    buckets = keyed.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot < last").select("band", "pivot")
-    members = materialize(keyed.join(buckets, "band"), "members")
+    hashes = F.transform(signed(F.col("text")), lambda x: F.xxhash64(x))
+    keyed = units.select("id", "n", F.explode(band_keys(hashes, bands, rows, threshold)).alias("band"))
+    bucket = Window.partitionBy("band")
+    best = F.max(F.struct("n", (-F.col("id")).alias("id"))).over(bucket)
+    members = keyed.withColumn("size", F.count(F.lit(1)).over(bucket)).withColumn("pivot", -best["id"]).filter("size > 1")
+    members = materialize(members.select("band", "id", "pivot"), "members")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """pairs (a, b) with whether they are similar enough."""
-        sides = materialize(pairs, "pairs")
-        wanted = sides.select("a").union(sides.select("b")).distinct().withColumnRenamed("a", "id")
-        sets = materialize(units.join(wanted, "id").select("id", F.array_distinct(shingles(F.col("text"))).alias("s")), "sets")
-        left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("x")), sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
-        common = F.size(F.array_intersect("x", "y"))
-        both = F.size("x") + F.size("y")
+        texts = units.select("id", "text")
+        met = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "x"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "y"}), "b")
+        sets = met.select("a", "b", F.array_distinct(exact(F.col("x"))).alias("x"), F.array_distinct(exact(F.col("y"))).alias("y"))
+        sizes, common = F.size("x") + F.size("y"), F.size(F.array_intersect("x", "y"))
         fits = F.least(F.size("x"), F.size("y")) >= F.lit(threshold) * F.greatest(F.size("x"), F.size("y"))
-        jaccard = F.when(fits, common / (both - common)).otherwise(F.lit(0.0))
-        return materialize(sides.join(right, "b").join(left, "a").select("a", "b", (jaccard >= threshold).alias("near")), "verified")
+        jaccard = F.when(fits, common / (sizes - common)).otherwise(F.lit(0.0))
+        return materialize(sets.select("a", "b", (jaccard >= threshold).alias("near")), "verified")
 
     first = verified(members.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct())
     far = first.filter(~F.col("near")).select(F.col("a").alias("id"), F.col("b").alias("pivot"))
@@ -103,7 +112,7 @@ def similarity_links(units: DataFrame, shingles: Callable[[Column], Column], thr
     return first.filter("near").select("a", "b").union(second.filter("near").select("a", "b"))
 
 
-def unit_classes(docs: DataFrame, key: str, text: str, normal: Callable[[Column], Column], shingles: Callable[[Column], Column], threshold: float, bands: int, rows: int) -> DataFrame:
+def unit_classes(docs: DataFrame, key: str, text: str, normal: Callable[[Column], Column], signed: Callable[[Column], Column], exact: Callable[[Column], Column], threshold: float, bands: int, rows: int) -> DataFrame:
     """(key, unit, first_key, first_unit, keep) for every line of docs that isn't empty after normal.
 
     unit counts the lines of a text from 0. first_*: the smallest (key, unit) of the line's class, which is kept.
@@ -112,9 +121,9 @@ def unit_classes(docs: DataFrame, key: str, text: str, normal: Callable[[Column]
     lines = docs.select(F.col(key).cast("long").alias("k"), F.posexplode(F.split(F.col(text), "\n")).alias("unit", "line")).select("k", "unit", normal(F.col("line")).alias("text")).filter("text <> ''")
     hashes = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), F.col("text")).alias("h2")]
     place = F.expr("cast(coalesce(cast(k as decimal(19,0)), 9999999999999999999BD) * 10000000000BD + unit as decimal(38,0))")
-    units = lines.select("text", place.alias("place")).groupBy("text").agg(F.min("place").alias("place"))
-    units = materialize(units.select(F.monotonically_increasing_id().alias("id"), *hashes, "text", "place"), "units")
-    roots = components(similarity_links(units.select("id", "text"), shingles, threshold, bands, rows))
+    units = lines.select("text", place.alias("place")).groupBy("text").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"))
+    units = materialize(units.select(F.monotonically_increasing_id().alias("id"), *hashes, "text", "place", "n"), "units", "zstd")
+    roots = components(similarity_links(units.select("id", "text", "n"), signed, exact, threshold, bands, rows))
     rooted = units.select("id", "h1", "h2", "place").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rooted = materialize(rooted, "rooted")
     firsts = rooted.groupBy("root").agg(F.min("place").alias("first"))

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blank_words, table
+from .common import table
 from .minhash import tune, unit_classes, word_shingles
 
-WIDTH, THRESHOLD, ROWS, RECALL = 5, 0.8, 3, 0.9999
+WIDTH, THRESHOLD, ROWS, RECALL = 5, 0.8, 4, 0.999
 
 
 def normal_paragraph(line: Column) -> Column:
-    """Words [^\\x20\\x09-\\x0D]+ with A-Z lowered, between single spaces."""
-    return F.array_join(blank_words(line), " ")
+    """Lowered, words [^\\x20\\x09-\\x0D]+ between single spaces."""
+    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
 
 
 def paragraph_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
@@ -26,7 +26,7 @@ def paragraph_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     is returned as null. Rows that repeat a key and its paragraph are one, kept or dropped together. Empty tables give
     empty results; other columns aren't read.
     """
-    found = unit_classes(docs, key, text, normal_paragraph, lambda t: word_shingles(t, width), threshold, tune(threshold, rows, recall), rows)
+    found = unit_classes(docs, key, text, normal_paragraph, lambda t: word_shingles(t, width), lambda t: word_shingles(t, width), threshold, tune(threshold, rows, recall), rows)
     return found.withColumnsRenamed({"unit": "paragraph", "first_unit": "first_paragraph"})
 
 
