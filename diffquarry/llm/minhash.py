@@ -34,13 +34,6 @@ def character_shingles(text: Column, width: int) -> Column:
     return _runs(text, rf"(?s)(?=(.{{{width}}}))")
 
 
-def anchored_shingles(text: Column, width: int, long: int = 24) -> Column:
-    """Those runs of width characters that start a word, and all inside words of more than long characters."""
-    starts = _runs(text, rf"(?s)(?:^| )(?=([^ ].{{0,{width - 1}}}))")
-    words = F.regexp_extract_all(text, F.lit(rf"(?:^| )([^ ]{{{long + 1},}})"), F.lit(1))
-    return F.concat(starts, F.flatten(F.transform(words, lambda w: character_shingles(w, width))))
-
-
 def word_shingles(text: Column, width: int) -> Column:
     """All runs of width words of a text with single spaces; a shorter text is one shingle."""
     return _runs(text, rf"(?:^| )(?=((?:[^ ]+ ){{{width - 1}}}[^ ]+))")
@@ -57,6 +50,9 @@ def band_keys(shingles: Column, bands: int, rows: int, threshold: float) -> Colu
     One-permutation MinHash: the hashes' top bits deal them out to bands * rows bins, of which the least hash of each is a
     value. A band is rows neighbouring bins; its key is made of the rows values from its first bin that isn't empty on,
     around the end; a set of fewer values gives them all, so small sets never meet on a part of a key.
+    Sets of at most bands shingles have too few values for that. Each of their shingles gives a key, made of it and the next
+    rows - 1 by hash, around the end: as a differing shingle spoils rows keys at most, all pairs at the threshold meet if
+    rows * (1 - threshold) < 1. A set whose partner may be above that size is signed both ways.
     Large sets are thinned by the low bits first, by a level that depends on their size; a set whose partner may be on the
     next level is signed on both.
     """
@@ -69,25 +65,28 @@ def band_keys(shingles: Column, bands: int, rows: int, threshold: float) -> Colu
         keys = lambda v: F.transform(v, lambda x, i: F.when(new(v, of_band)(x, i), F.xxhash64(level, F.shiftrightunsigned(x, of_band), F.slice(F.concat(v, v), i + 1, F.least(F.lit(rows), F.size(v))))))
         return F.array_compact(each(each(F.sort_array(held), least), keys))
 
+    def small(v):
+        return F.transform(v, lambda x, i: F.xxhash64(F.lit(-1), F.slice(F.concat(v, v), i + 1, F.least(F.lit(rows), F.size(v)))))
+
     def thinned(all_):
-        n = F.size(all_)
+        n, none = F.size(all_), F.array().cast("array<bigint>")
         levels = F.array_distinct(F.array(_level(n), _level(n / threshold)))
         masks = F.transform(levels, lambda v: F.pow(F.lit(2.0), v).cast("long") - 1)
-        return F.flatten(F.transform(masks, lambda m: signed(m, F.when(m == 0, all_).otherwise(F.filter(all_, lambda h: h.bitwiseAND(m) == 0)))))
+        large = F.flatten(F.transform(masks, lambda m: signed(m, F.when(m == 0, all_).otherwise(F.filter(all_, lambda h: h.bitwiseAND(m) == 0)))))
+        return F.concat(F.when(n <= bands, each(F.sort_array(all_), small)).otherwise(none), F.when(n / threshold > bands, large).otherwise(none))
 
     return each(shingles, thinned)
 
 
-def similarity_links(units: DataFrame, signed: Callable[[Column], Column], exact: Callable[[Column], Column], threshold: float, bands: int, rows: int) -> DataFrame:
+def similarity_links(units: DataFrame, shingles: Callable[[Column], Column], threshold: float, bands: int, rows: int) -> DataFrame:
     """(a, b): links of exact Jaccard threshold or more between units (id, text, n), enough to connect all that the
     colliding pairs connect.
 
-    signed: the shingles that are hashed into the signature; exact: those whose sets are compared. n: how often a unit
-    occurs. In each bucket all members are compared with one pivot, the most frequent unit, which near copies are made
-    from. Those that match it are connected and needn't meet each other; those that don't are compared with every member.
+    shingles: what is hashed into the signature and whose sets are compared. n: how often a unit occurs. In each bucket all
+    members are compared with one pivot, the most frequent unit, which near copies are made from. Those that match it are connected and needn't meet each other; those that don't are compared with every member.
     So a bucket of m near copies of one text makes about m pairs, not m^2.
     """
-    hashes = F.transform(signed(F.col("text")), lambda x: F.xxhash64(x))
+    hashes = F.transform(shingles(F.col("text")), lambda x: F.xxhash64(x))
     keyed = units.select("id", "n", F.explode(band_keys(hashes, bands, rows, threshold)).alias("band"))
     bucket = Window.partitionBy("band")
     best = F.max(F.struct("n", (-F.col("id")).alias("id"))).over(bucket)
@@ -98,7 +97,7 @@ def similarity_links(units: DataFrame, signed: Callable[[Column], Column], exact
         """pairs (a, b) with whether they are similar enough."""
         texts = units.select("id", "text")
         met = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "x"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "y"}), "b")
-        sets = met.select("a", "b", F.array_distinct(exact(F.col("x"))).alias("x"), F.array_distinct(exact(F.col("y"))).alias("y"))
+        sets = met.select("a", "b", F.array_distinct(shingles(F.col("x"))).alias("x"), F.array_distinct(shingles(F.col("y"))).alias("y"))
         sizes, common = F.size("x") + F.size("y"), F.size(F.array_intersect("x", "y"))
         fits = F.least(F.size("x"), F.size("y")) >= F.lit(threshold) * F.greatest(F.size("x"), F.size("y"))
         jaccard = F.when(fits, common / (sizes - common)).otherwise(F.lit(0.0))
@@ -112,7 +111,7 @@ def similarity_links(units: DataFrame, signed: Callable[[Column], Column], exact
     return first.filter("near").select("a", "b").union(second.filter("near").select("a", "b"))
 
 
-def unit_classes(docs: DataFrame, key: str, text: str, normal: Callable[[Column], Column], signed: Callable[[Column], Column], exact: Callable[[Column], Column], threshold: float, bands: int, rows: int) -> DataFrame:
+def unit_classes(docs: DataFrame, key: str, text: str, normal: Callable[[Column], Column], shingles: Callable[[Column], Column], threshold: float, bands: int, rows: int) -> DataFrame:
     """(key, unit, first_key, first_unit, keep) for every line of docs that isn't empty after normal.
 
     unit counts the lines of a text from 0. first_*: the smallest (key, unit) of the line's class, which is kept.
@@ -123,7 +122,7 @@ def unit_classes(docs: DataFrame, key: str, text: str, normal: Callable[[Column]
     place = F.expr("cast(coalesce(cast(k as decimal(19,0)), 9999999999999999999BD) * 10000000000BD + unit as decimal(38,0))")
     units = lines.select("text", place.alias("place")).groupBy("text").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"))
     units = materialize(units.select(F.monotonically_increasing_id().alias("id"), *hashes, "text", "place", "n"), "units", "zstd")
-    roots = components(similarity_links(units.select("id", "text", "n"), signed, exact, threshold, bands, rows))
+    roots = components(similarity_links(units.select("id", "text", "n"), shingles, threshold, bands, rows))
     rooted = units.select("id", "h1", "h2", "place").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rooted = materialize(rooted, "rooted")
     firsts = rooted.groupBy("root").agg(F.min("place").alias("first"))

@@ -138,3 +138,17 @@ def test_units_with_null_keys_and_repeats(spark):
     got = sorted((str(r.doc_id), str(r.first_key), r.keep) for r in line_dedup.line_classes(docs).collect())
     assert got == [("5", "5", True), ("5", "5", True), ("None", "5", False), ("None", "None", True)]
     assert line_dedup.line_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_short_lines_against_all_pairs(spark):
+    """Lines of 1 to 10 words and lines without blanks, with edits at either end and inside."""
+    rnd, rows = random.Random(12), []
+    for i in range(600):
+        line = (" " if i % 4 else "").join("".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(3, 9))) for _ in range(rnd.randrange(1, 11)))
+        at = rnd.randrange(len(line))
+        rows += [line, line + rnd.choice("xyz"), rnd.choice("xyz") + line, line[:at] + "q" + line[at + 1 :], line[:-1]]
+    texts = list(enumerate(rows))
+    got = {(r.doc_id, r.line): (r.first_key, r.first_line) for r in line_dedup.line_classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    by_family = [brute(texts[i : i + 5], str.strip, lambda u: [u[j : j + 8] for j in range(max(1, len(u) - 7))]) for i in range(0, len(texts), 5)]
+    want = {k: v for part in by_family for k, v in part.items()}
+    assert got.keys() == want.keys() and sum(got[k] != want[k] for k in want) <= 0.005 * len(want)
