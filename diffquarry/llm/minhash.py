@@ -53,6 +53,7 @@ def band_keys(shingles: Column, bands: int, rows: int, threshold: float) -> Colu
     Sets of at most bands shingles have too few values for that. Each of their shingles gives a key, made of it and the next
     rows - 1 by hash, around the end: as a differing shingle spoils rows keys at most, all pairs at the threshold meet if
     rows * (1 - threshold) < 1. A set whose partner may be above that size is signed both ways.
+    Repeated hashes count once, in the size too: equal sets have equal keys however often their shingles repeat.
     Large sets are thinned by the low bits first, by a level that depends on their size; a set whose partner may be on the
     next level is signed on both.
     """
@@ -75,7 +76,7 @@ def band_keys(shingles: Column, bands: int, rows: int, threshold: float) -> Colu
         large = F.flatten(F.transform(masks, lambda m: signed(m, F.when(m == 0, all_).otherwise(F.filter(all_, lambda h: h.bitwiseAND(m) == 0)))))
         return F.concat(F.when(n <= bands, each(F.sort_array(all_), small)).otherwise(none), F.when(n / threshold > bands, large).otherwise(none))
 
-    return each(shingles, thinned)
+    return each(F.array_distinct(shingles), thinned)
 
 
 def similarity_links(units: DataFrame, shingles: Callable[[Column], Column], threshold: float, bands: int, rows: int) -> DataFrame:

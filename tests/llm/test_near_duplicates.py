@@ -152,3 +152,16 @@ def test_short_lines_against_all_pairs(spark):
     by_family = [brute(texts[i : i + 5], str.strip, lambda u: [u[j : j + 8] for j in range(max(1, len(u) - 7))]) for i in range(0, len(texts), 5)]
     want = {k: v for part in by_family for k, v in part.items()}
     assert got.keys() == want.keys() and sum(got[k] != want[k] for k in want) <= 0.005 * len(want)
+
+
+def test_repetitive_units_against_all_pairs(spark):
+    """Texts of few distinct shingles that repeat often, in different numbers."""
+    lines = [c * n for c in "-=*" for n in (7, 8, 60, 120, 500)] + ["-=" * n for n in (30, 31, 400)] + ["ab cd ef gh " * n for n in (8, 60, 300)]
+    sentence = "this page was left empty on purpose by the publisher "
+    units = [sentence * n for n in (2, 5, 20, 200)] + ["buy now " * n for n in (10, 90, 700)] + [sentence * 40 + "and one end"]
+    texts = list(enumerate(lines + units))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r.doc_id, r.line): (r.first_key, r.first_line) for r in line_dedup.line_classes(docs).collect()}
+    assert got == brute(texts, str.strip, lambda u: [u[i : i + 8] for i in range(max(1, len(u) - 7))])
+    got = {(r.doc_id, r.paragraph): (r.first_key, r.first_paragraph) for r in paragraph_dedup.paragraph_classes(docs).collect()}
+    assert got == brute(texts, lambda x: " ".join(x.split()), lambda u: [" ".join(u.split()[i : i + 5]) for i in range(max(1, len(u.split()) - 4))])
