@@ -1,4 +1,4 @@
-"""Mixing sources to target weights: Sainte-Lague apportionment of equal-token blocks."""
+"""Mixing sources to target weights: Sainte-Lague apportionment, given by equal-token blocks and a part of one."""
 
 from __future__ import annotations
 
@@ -115,8 +115,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     size: words of the text, 0 for null or empty. Sources weigh cycle, repeating, by code point with null last, and
     share share times all words; no target is above most times its source, the excess reshared by weight.
-    The mix is cut into blocks of equal words; sources get blocks by Sainte-Lague on their targets, shards of a source
-    by Sainte-Lague on their sizes, and within a shard blocks are chosen in a seeded order. A document's words stand in
+    Sources get words by Sainte-Lague on their targets, shards of a source by Sainte-Lague on their sizes, and within a
+    shard blocks of equal words are chosen in a seeded order, the last of them in part. So a source's words come within
+    about one of its target, however small it is against a block. A document's words stand in
     seeded order of its key, size and text hash; equal rows are interchangeable. Documents without words take nothing.
     Rows with a null key or source count like others. An empty table gives an empty result. A shard holds 1/4096 of all
     words at most (or 65536), so a hot source is split; only shard totals reach the driver, 4096 and one per source.
@@ -140,14 +141,13 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     held: dict = {}
     for r in dealt.groupBy("s", "shard").agg(F.sum("size").alias("size")).filter("size > 0").collect():  # SHARDS rows and one per source at most
         held.setdefault(r["s"], []).append((r["shard"], r["size"]))
-    seats = round(sum(targets) / block)
-    quotas = sainte_lague(targets, seats, [int(most * x // block) for x in sizes])
+    quotas = sainte_lague(targets, round(sum(targets)), [int(most * x) for x in sizes])
     rows = []
     for (s, _), quota in zip(totals, quotas, strict=True):
         parts = sorted(held.get(s, []))
-        got = sainte_lague([float(x) for _, x in parts], quota, [int(most * x // block) for _, x in parts])
+        got = sainte_lague([float(x) for _, x in parts], quota, [int(most * x) for _, x in parts])
         for (shard, size), q in zip(parts, got, strict=True):
-            rows.append((s, shard, *_selection(size, q * block, block, random.Random(f"{seed}/{s}/{shard}"))))
+            rows.append((s, shard, *_selection(size, q, block, random.Random(f"{seed}/{s}/{shard}"))))
     plan = spark.createDataFrame(rows, T.StructType([T.StructField("s", docs.schema[source].dataType), T.StructField("shard", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("passes", "n", "a", "b", "full", "part"))]))
     w = Window.partitionBy("s", "shard").orderBy("h", "k", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("start", F.coalesce(F.sum("size").over(w), F.lit(0)))

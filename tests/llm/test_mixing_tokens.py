@@ -68,6 +68,20 @@ def test_mix(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_sources_smaller_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 1)
+    monkeypatch.setattr(mixing, "MOST_IN_BLOCK", 1000)
+    monkeypatch.setattr(mixing, "LEAST_IN_SHARD", 700)
+    rows = [(i, "w " * 50, "big") for i in range(100)] + [(1000 + i, "w " * 7, "small") for i in range(20)] + [(2000, "one", "tiny"), (2001, "two words", "tiny")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix(docs).collect()
+    want = dict(zip(("big", "small", "tiny"), water([5000, 140, 3], [3, 1, 2], 1.5, 2), strict=True))
+    for s, target in want.items():
+        assert abs(sum(r.taken for r in got if r.source == s) - target) <= 1.5
+    assert all(0 <= r.taken <= 2 * r["size"] for r in got)
+    assert {r.source for r in mixing.copies(docs).collect()} == set(want)
+
+
 TEXTS = ["Hello world", "", None, "a  b\n\n c", " lead", "trail \n", "it's don't we'll", "x\ty z w", "naïve café — 12,5%!!", "<|endoftext|> ok", "ab\ncd\nef.", "\n", " ", "a\n b", "Ünï. \"quoted\", (par) it's.", "é ​ z", "日本語 text。", "a" * 3000, "word " * 3000, "x\0 y"]
 
 
