@@ -157,6 +157,22 @@ def test_scores_by_hand(spark, monkeypatch):
     assert only.n_tokens == 1 and only.score <= 0
 
 
+def test_rare_entries_are_joined(spark):
+    """Codes by a trie of which executors hold few or no entries equal those by the whole trie in memory."""
+    rnd = random.Random(9)
+    words = list({"".join(rnd.choice("abcdé") for _ in range(rnd.randrange(1, 14))).encode() for _ in range(400)})
+    rows = [(w, int(i % 4 > 0)) for i, w in enumerate(words)] + [(b"\xff\x00", 0), (b"zzzz", 0), (b"a" * 50, 0)]
+    counted = spark.createDataFrame(rows, "word binary, n long")
+    for seen in (counted, counted.withColumn("n", F.lit(0))):
+        learnt = [bytes(r.word) for r in seen.filter("n > 0").collect()]
+        trie, table = ppm.Trie(*ppm.entries(learnt)), ppm.train(seen)
+        asked = [w for w, _ in rows]
+        want = dict(zip(asked, trie.code(asked).tolist(), strict=True))
+        for most in (0, 100, None):
+            got = {bytes(r.word): r.code for r in ppm.word_codes(seen, table, most).collect()}
+            assert got == pytest.approx(want, rel=1e-9)
+
+
 def test_held_out_texts_beat_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = ppm.code_lengths(docs).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
