@@ -39,7 +39,16 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/diffquarry/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.written_at = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialize() wrote, once nothing that is still to run reads it."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:

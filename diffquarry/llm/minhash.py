@@ -8,11 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import discard, materialize
 from .components import components
 
 #: Shingles of a unit from which its signature is made, to within a factor of two; fewer if it has fewer.
-SAMPLED = 48
+SAMPLED = 32
+#: Bits of a hash, below those of its band, that deal it out to the bins of the band.
+FRACTION = 20
+#: One unit in so many is looked at to find hot buckets, and members there that make a bucket hot.
+SAMPLE, HOT = 64, 64
+#: Hot buckets at most, by their size in the sample; parts that a hot bucket is dealt out to.
+MOST_HOT, PARTS = 10_000, 64
 
 
 def tune(threshold: float, rows: int, recall: float) -> int:
@@ -23,20 +29,31 @@ def tune(threshold: float, rows: int, recall: float) -> int:
     return bands
 
 
-def _runs(text: Column, pattern: str) -> Column:
-    """What a pattern's group holds at each place where it matches; the whole text if nowhere."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(text))
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def character_shingles(text: Column, width: int) -> Column:
-    """All runs of width characters, repeats included; a shorter text is one shingle."""
-    return _runs(text, rf"(?s)(?=(.{{{width}}}))")
+def character_hashes(text: Column, width: int) -> Column:
+    """Hashes of all runs of width characters, repeats included; a shorter text is one shingle.
 
+    In UTF-32 all characters have four bytes, so that a run is a slice at a known place.
+    """
+    size = 4 * width
+
+    def runs(b):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(b) - size + 1), F.lit(4)), lambda i: F.xxhash64(F.substring(b, i, F.lit(size))))
+
+    return _with(F.encode(text, "UTF-32"), runs)
+
+
+def word_hashes(text: Column, width: int) -> Column:
+    """Hashes of all runs of width words of a text with single spaces; a shorter text is one shingle."""
+
+    def runs(words):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - width + 1)), lambda i: F.xxhash64(F.slice(words, i, F.least(F.lit(width), F.size(words)))))
 
-def word_shingles(text: Column, width: int) -> Column:
-    """All runs of width words of a text with single spaces; a shorter text is one shingle."""
-    return _runs(text, rf"(?:^| )(?=((?:[^ ]+ ){{{width - 1}}}[^ ]+))")
+    return _with(F.transform(F.split(text, " "), lambda w: F.xxhash64(w)), runs)
 
 
 def _level(n: Column) -> Column:
@@ -44,91 +61,154 @@ def _level(n: Column) -> Column:
     return F.greatest(F.lit(0), F.floor(F.log2(n / F.lit(float(SAMPLED))))).cast("int")
 
 
-def band_keys(shingles: Column, bands: int, rows: int, threshold: float) -> Column:
-    """Keys under which a unit meets others: a hash of the MinHash values of each band; bands and rows are powers of two.
+def band_keys(hashes: Column, bands: int, rows: int, threshold: float) -> Column:
+    """Keys under which a unit meets others: a hash of the MinHash values of each band; bands is a power of two.
 
     One-permutation MinHash: the hashes' top bits deal them out to bands * rows bins, of which the least hash of each is a
     value. A band is rows neighbouring bins; its key is made of the rows values from its first bin that isn't empty on,
     around the end; a set of fewer values gives them all, so small sets never meet on a part of a key.
-    Sets of at most bands shingles have too few values for that. Each of their shingles gives a key, made of it and the next
-    rows - 1 by hash, around the end: as a differing shingle spoils rows keys at most, all pairs at the threshold meet if
-    rows * (1 - threshold) < 1. A set whose partner may be above that size is signed both ways.
+    Sets of at most bands * rows shingles have too few values for that. Each of their shingles gives a key, made of it and
+    the next rows - 1 by hash, around the end: as a differing shingle spoils rows keys at most, all pairs at the threshold
+    meet if rows * (1 - threshold) < 1. A set whose partner may be above that size is signed both ways.
     Repeated hashes count once, in the size too: equal sets have equal keys however often their shingles repeat.
     Large sets are thinned by the low bits first, by a level that depends on their size; a set whose partner may be on the
     next level is signed on both.
     """
-    of_bin, of_band = 64 - (bands * rows - 1).bit_length(), 64 - (bands - 1).bit_length()
-    each = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  f of a value that is worked out once
+    of_band = 64 - (bands - 1).bit_length()
+    band = lambda x: F.shiftrightunsigned(x, of_band)
+    place = lambda x: F.shiftright(F.shiftrightunsigned(x, of_band - FRACTION) * rows, FRACTION)  # noqa: E731  the bin
+    opens = lambda v, part: lambda x, i: (i == 0) | (part(x) != part(F.get(v, i - 1)))
+
+    def run(twice, i, n):
+        return F.slice(twice, i + 1, F.least(F.lit(rows), n))
 
     def signed(level, held):
-        new = lambda v, shift: lambda x, i: (i == 0) | (F.shiftrightunsigned(x, shift) != F.shiftrightunsigned(F.get(v, i - 1), shift))
-        least = lambda v: F.filter(v, new(v, of_bin))
-        keys = lambda v: F.transform(v, lambda x, i: F.when(new(v, of_band)(x, i), F.xxhash64(level, F.shiftrightunsigned(x, of_band), F.slice(F.concat(v, v), i + 1, F.least(F.lit(rows), F.size(v))))))
-        return F.array_compact(each(each(F.sort_array(held), least), keys))
+        def keys(v):
+            return _with(F.concat(v, v), lambda twice: F.transform(v, lambda x, i: F.when(opens(v, band)(x, i), F.xxhash64(level, band(x), run(twice, i, F.size(v))))))
+
+        return F.array_compact(_with(_with(F.sort_array(held), lambda v: F.filter(v, opens(v, place))), keys))
 
     def small(v):
-        return F.transform(v, lambda x, i: F.xxhash64(F.lit(-1), F.slice(F.concat(v, v), i + 1, F.least(F.lit(rows), F.size(v)))))
+        return _with(F.concat(v, v), lambda twice: F.transform(v, lambda x, i: F.xxhash64(F.lit(-1), run(twice, i, F.size(v)))))
 
     def thinned(all_):
-        n, none = F.size(all_), F.array().cast("array<bigint>")
+        n, none, few = F.size(all_), F.array().cast("array<bigint>"), bands * rows
         levels = F.array_distinct(F.array(_level(n), _level(n / threshold)))
-        masks = F.transform(levels, lambda v: F.pow(F.lit(2.0), v).cast("long") - 1)
-        large = F.flatten(F.transform(masks, lambda m: signed(m, F.when(m == 0, all_).otherwise(F.filter(all_, lambda h: h.bitwiseAND(m) == 0)))))
-        return F.concat(F.when(n <= bands, each(F.sort_array(all_), small)).otherwise(none), F.when(n / threshold > bands, large).otherwise(none))
+        sample = lambda m: F.when(m == 0, all_).otherwise(F.filter(all_, lambda h: h.bitwiseAND(m) == 0))
+        large = F.flatten(F.transform(F.transform(levels, lambda k: F.pow(F.lit(2.0), k).cast("long") - 1), lambda m: signed(m, sample(m))))
+        return F.concat(F.when(n <= few, _with(F.sort_array(all_), small)).otherwise(none), F.when(n / threshold > few, large).otherwise(none))
+
+    return _with(F.array_distinct(hashes), thinned)
 
-    return each(F.array_distinct(shingles), thinned)
 
+def _pivots(keyed: DataFrame) -> DataFrame:
+    """keyed (id, n, band) with pivot, the most frequent unit of each band; bands of one member go.
 
-def similarity_links(units: DataFrame, shingles: Callable[[Column], Column], threshold: float, bands: int, rows: int) -> DataFrame:
+    Bands that many units of a sample share are dealt out to parts, of which the pivots of the whole band are put
+    together by partial sums; so no task holds a hot bucket.
+    """
+    sample = keyed.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).groupBy("band").agg(F.count(F.lit(1)).alias("__n"))
+    hot = materialize(sample.filter(F.col("__n") >= HOT).orderBy(F.desc("__n"), "band").limit(MOST_HOT).select("band", F.lit(True).alias("hot")), "hot")
+    dealt = keyed.join(F.broadcast(hot), "band", "left").withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("id", F.lit(7)), F.lit(PARTS))).otherwise(F.lit(0)))
+    bucket = Window.partitionBy("band", "part")
+    most = F.max(F.struct("n", (-F.col("id")).alias("id"))).over(bucket)
+    members = dealt.withColumn("size", F.count(F.lit(1)).over(bucket)).withColumn("best", most).filter("size > 1 or hot")
+    members = materialize(members.select("band", "id", "n", (-F.col("best.id")).alias("pivot"), "hot"), "members")
+    whole = members.filter("hot").groupBy("band").agg((-F.max(F.struct("n", (-F.col("id")).alias("id")))["id"]).alias("of_all"))
+    return members.join(F.broadcast(whole), "band", "left").select("band", "id", "n", F.coalesce("of_all", "pivot").alias("pivot"))
+
+
+def _compared(pairs: DataFrame, units: DataFrame, hashes: Callable[[Column], Column], threshold: float, residuals: bool = False) -> DataFrame:
+    """pairs (a, b) with near, whether the exact Jaccard of their shingles reaches threshold.
+
+    With residuals also apart, the Jaccard distance; size, the number of shingles of a; length, that of its prefix (see
+    _rest); own, the shingles that b lacks; and common, as many shingles of both, by hash, as the prefix has room for.
+    """
+    texts = units.select("id", "text")
+    met = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "x"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "y"}), "b")
+    sets = met.select("a", "b", F.array_distinct(hashes(F.col("x"))).alias("x"), F.array_distinct(hashes(F.col("y"))).alias("y"))
+    sets = sets.withColumn("both", F.array_intersect("x", "y")).withColumn("size", F.size("x"))
+    common = F.size("both")
+    jaccard = common / (F.size("x") + F.size("y") - common)
+    near = (jaccard >= threshold).alias("near")
+    if not residuals:
+        return materialize(sets.select("a", "b", near), "compared")
+    length = F.col("size") - F.ceil(F.round(threshold * F.col("size"), 9)).cast("int") + 1
+    room = F.greatest(F.lit(0), length - F.size("x") + common)
+    return materialize(sets.select("a", "b", near, (1 - jaccard).alias("apart"), "size", length.alias("length"), F.array_except("x", "both").alias("own"), F.slice(F.sort_array("both"), F.lit(1), room).alias("common")), "compared")
+
+
+def _rest(first: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of units that were compared with the same pivot, aren't connected, and may reach threshold.
+
+    Prefix filter: the shingles of a pivot's units are ordered by rarity, those of the pivot itself last. Two sets can't
+    reach the threshold unless they share one among their first size - ceil(threshold * size) + 1, at ranks that leave
+    room for the overlap they need. Edits are rare, so variants of a pivot that differ from each other seldom do.
+    As Jaccard distance is a metric, units that the pivot is connected with are needed only as far from it as the nearest
+    other unit is, less the distance that the threshold allows.
+    Lists whose units are all connected go at once; in others the units of the largest component meet the others only.
+    """
+    rooted = first.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    rooted = rooted.join(roots.select(F.col("node").alias("b"), F.col("root").alias("of_pivot")), "b", "left").withColumn("of_pivot", F.coalesce("of_pivot", "b"))
+    mixed = rooted.filter("root <> of_pivot").groupBy("b").agg(F.min("apart").alias("nearest"))
+    rooted = rooted.join(mixed, "b").filter((F.col("root") != F.col("of_pivot")) | (F.col("apart") >= F.col("nearest") - (1 - threshold) - 1e-9))
+    alone = rooted.groupBy("b").agg((F.min("root") == F.max("root")).alias("alone")).filter("alone").select("b")
+    tokens = rooted.join(alone, "b", "left_anti").select("b", F.col("a").alias("id"), "root", "size", "length", F.size("own").alias("owned"), F.posexplode(F.concat("own", "common")).alias("at", "token"))
+    tokens = materialize(tokens.withColumn("known", F.col("at") >= F.col("owned")).drop("at", "owned"), "tokens")
+    counts = tokens.groupBy("b", "token").agg(F.count(F.lit(1)).alias("m"))
+    ranked = tokens.join(counts, ["b", "token"]).withColumn("rank", F.row_number().over(Window.partitionBy("b", "id").orderBy("known", "m", "token")))
+    posted = materialize(ranked.filter("rank <= length and m > 1").select("b", "token", "id", "root", "size", "rank"), "postings")
+    lists = posted.groupBy("b", "token", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("b", "token").agg(F.max(F.struct("m", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("roots"))
+    lists = posted.join(lists.filter("roots > 1").select("b", "token", "most"), ["b", "token"])
+    other = lists.withColumnsRenamed({"id": "y", "root": "of_y", "size": "size_y", "rank": "rank_y"}).drop("most")
+    need = F.ceil(F.round(F.lit(threshold / (1 + threshold)) * (F.col("size") + F.col("size_y")), 9))
+    fits = (F.col("root") != F.col("of_y")) & (F.col("size") - F.col("rank") + 1 >= need) & (F.col("size_y") - F.col("rank_y") + 1 >= need)
+    meet = lists.filter("root <> most").join(other, ["b", "token"]).filter(fits)
+    discard(tokens)
+    return meet.select(F.greatest("id", "y").alias("a"), F.least("id", "y").alias("b")).distinct()
+
+
+def similarity_links(units: DataFrame, hashes: Callable[[Column], Column], threshold: float, bands: int, rows: int, rounds: int = 2) -> DataFrame:
     """(a, b): links of exact Jaccard threshold or more between units (id, text, n), enough to connect all that the
     colliding pairs connect.
 
-    shingles: what is hashed into the signature and whose sets are compared. n: how often a unit occurs. In each bucket all
-    members are compared with one pivot, the most frequent unit, which near copies are made from. Those that match it are connected and needn't meet each other; those that don't are compared with every member.
-    So a bucket of m near copies of one text makes about m pairs, not m^2.
+    hashes: the hashed shingles of a text. n: how often a unit occurs. In each bucket all members are compared with one
+    pivot, the most frequent unit, which near copies are made from; those that don't match it are compared with the most
+    frequent among them, rounds times in all. What has been connected so far needn't meet again; other pairs of a bucket
+    meet if a prefix filter lets them. So a bucket of m near copies makes about m pairs, not m^2.
     """
-    hashes = F.transform(shingles(F.col("text")), lambda x: F.xxhash64(x))
-    keyed = units.select("id", "n", F.explode(band_keys(hashes, bands, rows, threshold)).alias("band"))
-    bucket = Window.partitionBy("band")
-    best = F.max(F.struct("n", (-F.col("id")).alias("id"))).over(bucket)
-    members = keyed.withColumn("size", F.count(F.lit(1)).over(bucket)).withColumn("pivot", -best["id"]).filter("size > 1")
-    members = materialize(members.select("band", "id", "pivot"), "members")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """pairs (a, b) with whether they are similar enough."""
-        texts = units.select("id", "text")
-        met = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "x"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "y"}), "b")
-        sets = met.select("a", "b", F.array_distinct(shingles(F.col("x"))).alias("x"), F.array_distinct(shingles(F.col("y"))).alias("y"))
-        sizes, common = F.size("x") + F.size("y"), F.size(F.array_intersect("x", "y"))
-        fits = F.least(F.size("x"), F.size("y")) >= F.lit(threshold) * F.greatest(F.size("x"), F.size("y"))
-        jaccard = F.when(fits, common / (sizes - common)).otherwise(F.lit(0.0))
-        return materialize(sets.select("a", "b", (jaccard >= threshold).alias("near")), "verified")
-
-    first = verified(members.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct())
-    far = first.filter(~F.col("near")).select(F.col("a").alias("id"), F.col("b").alias("pivot"))
-    alone = members.join(far, ["id", "pivot"]).select("band", "pivot", F.col("id").alias("a"))
-    rest = alone.join(members.select("band", F.col("id").alias("b")), "band").filter((F.col("a") != F.col("b")) & (F.col("b") != F.col("pivot")))
-    second = verified(rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    return first.filter("near").select("a", "b").union(second.filter("near").select("a", "b"))
-
-
-def unit_classes(docs: DataFrame, key: str, text: str, normal: Callable[[Column], Column], shingles: Callable[[Column], Column], threshold: float, bands: int, rows: int) -> DataFrame:
-    """(key, unit, first_key, first_unit, keep) for every line of docs that isn't empty after normal.
-
-    unit counts the lines of a text from 0. first_*: the smallest (key, unit) of the line's class, which is kept.
-    Equal lines are one unit from the start. Null keys come after all others. Keys are integers.
+    keyed = units.select("id", "n", F.explode(band_keys(hashes(F.col("text")), bands, rows, threshold)).alias("band"))
+    left, links, first = keyed, None, None
+    for _ in range(rounds):
+        members = materialize(_pivots(left), "buckets")
+        apart = members.filter("id <> pivot")
+        got = _compared(apart.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), units, hashes, threshold, first is None)
+        first = got if first is None else first
+        links = got.filter("near").select("a", "b") if links is None else links.union(got.filter("near").select("a", "b"))
+        left = apart.join(got.filter(~F.col("near")).select(F.col("a").alias("id"), F.col("b").alias("pivot")), ["id", "pivot"]).select("band", "id", "n")
+    roots = materialize(components(links), "roots")
+    last = _compared(_rest(first, roots, threshold), units, hashes, threshold)
+    return links.union(last.filter("near").select("a", "b"))
+
+
+def unit_classes(docs: DataFrame, key: str, text: str, normal: Callable[[Column], Column], hashes: Callable[[Column], Column], threshold: float, bands: int, rows: int) -> DataFrame:
+    """(key, unit, first_key, first_unit, members, keep) for every line of docs that isn't empty after normal.
+
+    unit counts the lines of a text from 0. first_*: the smallest (key, unit) of the line's class, which is kept; members:
+    how many lines the class has. Equal lines are one unit from the start. Null keys come after all others. Keys are integers.
     """
     lines = docs.select(F.col(key).cast("long").alias("k"), F.posexplode(F.split(F.col(text), "\n")).alias("unit", "line")).select("k", "unit", normal(F.col("line")).alias("text")).filter("text <> ''")
-    hashes = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), F.col("text")).alias("h2")]
+    names = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), F.col("text")).alias("h2")]
     place = F.expr("cast(coalesce(cast(k as decimal(19,0)), 9999999999999999999BD) * 10000000000BD + unit as decimal(38,0))")
     units = lines.select("text", place.alias("place")).groupBy("text").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"))
-    units = materialize(units.select(F.monotonically_increasing_id().alias("id"), *hashes, "text", "place", "n"), "units", "zstd")
-    roots = components(similarity_links(units.select("id", "text", "n"), shingles, threshold, bands, rows))
-    rooted = units.select("id", "h1", "h2", "place").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    units = materialize(units.select(F.monotonically_increasing_id().alias("id"), *names, "text", "place", "n"), "units", "zstd")
+    roots = components(similarity_links(units.select("id", "text", "n"), hashes, threshold, bands, rows))
+    rooted = units.select("id", "h1", "h2", "place", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rooted = materialize(rooted, "rooted")
-    firsts = rooted.groupBy("root").agg(F.min("place").alias("first"))
-    classes = rooted.join(firsts, "root").select("h1", "h2", "first")
-    found = lines.select("k", "unit", *hashes, place.alias("place")).join(classes, ["h1", "h2"])
+    discard(units)
+    firsts = rooted.groupBy("root").agg(F.min("place").alias("first"), F.sum("n").alias("members"))
+    classes = rooted.join(firsts, "root").select("h1", "h2", "first", "members")
+    found = lines.select("k", "unit", *names, place.alias("place")).join(classes, ["h1", "h2"])
     first_unit = F.expr("pmod(first, 10000000000BD)")
     first_key = F.when(F.col("first") < F.expr("9999999999999999999BD * 10000000000BD"), ((F.col("first") - first_unit) / F.expr("10000000000BD")).cast("long"))
-    return found.select(F.col("k").alias(key), "unit", first_key.alias("first_key"), first_unit.cast("int").alias("first_unit"), (F.col("place") == F.col("first")).alias("keep"))
+    return found.select(F.col("k").alias(key), "unit", first_key.alias("first_key"), first_unit.cast("int").alias("first_unit"), "members", (F.col("place") == F.col("first")).alias("keep"))

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .minhash import tune, unit_classes, word_shingles
+from .minhash import tune, unit_classes, word_hashes
 
-WIDTH, THRESHOLD, ROWS, RECALL = 5, 0.8, 4, 0.999
+WIDTH, THRESHOLD, ROWS, RECALL = 5, 0.8, 3, 0.99
 
 
 def normal_paragraph(line: Column) -> Column:
@@ -26,7 +26,7 @@ def paragraph_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     is returned as null. Rows that repeat a key and its paragraph are one, kept or dropped together. Empty tables give
     empty results; other columns aren't read.
     """
-    found = unit_classes(docs, key, text, normal_paragraph, lambda t: word_shingles(t, width), threshold, tune(threshold, rows, recall), rows)
+    found = unit_classes(docs, key, text, normal_paragraph, lambda t: word_hashes(t, width), threshold, tune(threshold, rows, recall), rows)
     return found.withColumnsRenamed({"unit": "paragraph", "first_unit": "first_paragraph"})
 
 
