@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,10 +46,15 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete what materialize() wrote, once nothing that is still to run reads it."""
+    """Delete what materialize() wrote, once nothing that is still to run reads it.
+
+    The collection of garbage lets Spark remove the shuffle files of jobs that have ended, too.
+    """
     for df in tables:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
 
 
 def ascii_lower(text: Column) -> Column:

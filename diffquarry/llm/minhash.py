@@ -11,22 +11,27 @@ from pyspark.sql.window import Window
 from .common import discard, materialize
 from .components import components
 
-#: Shingles of a unit from which its signature is made, to within a factor of two; fewer if it has fewer.
-SAMPLED = 32
-#: Bits of a hash, below those of its band, that deal it out to the bins of the band.
-FRACTION = 20
+#: Units at most whose places are sent to all executors to fetch their texts; beyond, lines are shuffled.
+BROADCAST_ROWS = 1 << 20
 #: One unit in so many is looked at to find hot buckets, and members there that make a bucket hot.
 SAMPLE, HOT = 64, 64
+#: Members of a bucket up to which all that aren't connected meet.
+SMALL = 16
 #: Hot buckets at most, by their size in the sample; parts that a hot bucket is dealt out to.
 MOST_HOT, PARTS = 10_000, 64
 
 
 def tune(threshold: float, rows: int, recall: float) -> int:
-    """Bands of rows values, a power of two, by which pairs of that similarity meet with that probability at least."""
-    bands = 1
-    while 1 - (1 - threshold**rows) ** bands < recall:
-        bands *= 2
-    return bands
+    """Values of a signature such that pairs of that similarity have a band in common with that probability at least.
+
+    A shingle of either set is in both with probability threshold, so a pair has no common band if no rows in a row of the
+    least shingles of both are.
+    """
+    without, values = [1.0] * rows, rows - 1
+    while 1 - without[-1] < recall:
+        without.append(sum((1 - threshold) * threshold**i * without[-1 - i] for i in range(rows)))
+        values += 1
+    return values
 
 
 def _with(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -56,159 +61,204 @@ def word_hashes(text: Column, width: int) -> Column:
     return _with(F.transform(F.split(text, " "), lambda w: F.xxhash64(w)), runs)
 
 
-def _level(n: Column) -> Column:
-    """How often a set of n shingles is halved by their hashes before it is signed."""
-    return F.greatest(F.lit(0), F.floor(F.log2(n / F.lit(float(SAMPLED))))).cast("int")
+#: First characters of the shingles by which long texts are signed, about one in eight of Latin text.
+ANCHORS = "dgkopuwz57éö"
+#: Distinct anchored shingles that a text must have to be signed by them; up to twice as many it is signed by all, too.
+ANCHORED = 8
+
 
+def anchored_hashes(text: Column, width: int) -> Column:
+    """Hashes of the runs of width characters that begin with an anchor, a sample that depends on each run alone."""
+    return F.transform(F.regexp_extract_all(text, F.lit(rf"(?s)(?=([{ANCHORS}].{{{width - 1}}}))"), F.lit(1)), lambda x: F.xxhash64(x))
 
-def band_keys(hashes: Column, bands: int, rows: int, threshold: float) -> Column:
-    """Keys under which a unit meets others: a hash of the MinHash values of each band; bands is a power of two.
 
-    One-permutation MinHash: the hashes' top bits deal them out to bands * rows bins, of which the least hash of each is a
-    value. A band is rows neighbouring bins; its key is made of the rows values from its first bin that isn't empty on,
-    around the end; a set of fewer values gives them all, so small sets never meet on a part of a key.
-    Sets of at most bands * rows shingles have too few values for that. Each of their shingles gives a key, made of it and
-    the next rows - 1 by hash, around the end: as a differing shingle spoils rows keys at most, all pairs at the threshold
-    meet if rows * (1 - threshold) < 1. A set whose partner may be above that size is signed both ways.
-    Repeated hashes count once, in the size too: equal sets have equal keys however often their shingles repeat.
-    Large sets are thinned by the low bits first, by a level that depends on their size; a set whose partner may be on the
-    next level is signed on both.
+def sampled_keys(text: Column, width: int, values: int, rows: int) -> Column:
+    """band_keys of all character shingles for short texts, of the anchored ones for long, of both in between.
+
+    So the cost of a long text is mostly one search for anchors. Texts without anchors, in other scripts, are signed by all.
     """
-    of_band = 64 - (bands - 1).bit_length()
-    band = lambda x: F.shiftrightunsigned(x, of_band)
-    place = lambda x: F.shiftright(F.shiftrightunsigned(x, of_band - FRACTION) * rows, FRACTION)  # noqa: E731  the bin
-    opens = lambda v, part: lambda x, i: (i == 0) | (part(x) != part(F.get(v, i - 1)))
 
-    def run(twice, i, n):
-        return F.slice(twice, i + 1, F.least(F.lit(rows), n))
+    def by_size(few):
+        n, none = F.size(few), F.array().cast("array<bigint>")
+        all_ = F.when(n < 2 * ANCHORED, band_keys(character_hashes(text, width), values, rows)).otherwise(none)
+        return F.concat(all_, F.when(n >= ANCHORED, band_keys(few, values, rows)).otherwise(none))
+
+    return _with(F.array_distinct(anchored_hashes(text, width)), by_size)
 
-    def signed(level, held):
-        def keys(v):
-            return _with(F.concat(v, v), lambda twice: F.transform(v, lambda x, i: F.when(opens(v, band)(x, i), F.xxhash64(level, band(x), run(twice, i, F.size(v))))))
 
-        return F.array_compact(_with(_with(F.sort_array(held), lambda v: F.filter(v, opens(v, place))), keys))
+def band_keys(hashes: Column, values: int, rows: int) -> Column:
+    """Keys under which a unit meets others: of its values least hashes, each with the rows - 1 that follow.
 
-    def small(v):
-        return _with(F.concat(v, v), lambda twice: F.transform(v, lambda x, i: F.xxhash64(F.lit(-1), run(twice, i, F.size(v)))))
+    The least hashes of a set are its MinHash signature, whatever its size: the least of two sets' hashes together are
+    among the least of each, so bands of neighbouring values are common wherever rows of those in a row are. A set of at
+    most values shingles goes around the end, and gives all of them if it has fewer than rows: as a differing shingle spoils
+    rows keys at most, such pairs at the threshold all meet if rows * (1 - threshold) < 1. A set whose partner may have
+    more than values is signed both ways. Repeated hashes count once: equal sets have equal keys.
+    """
 
-    def thinned(all_):
-        n, none, few = F.size(all_), F.array().cast("array<bigint>"), bands * rows
-        levels = F.array_distinct(F.array(_level(n), _level(n / threshold)))
-        sample = lambda m: F.when(m == 0, all_).otherwise(F.filter(all_, lambda h: h.bitwiseAND(m) == 0))
-        large = F.flatten(F.transform(F.transform(levels, lambda k: F.pow(F.lit(2.0), k).cast("long") - 1), lambda m: signed(m, sample(m))))
-        return F.concat(F.when(n <= few, _with(F.sort_array(all_), small)).otherwise(none), F.when(n / threshold > few, large).otherwise(none))
+    def ahead(v):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(v) - rows + 1)), lambda i: F.xxhash64(F.slice(v, i, F.lit(rows))))
 
-    return _with(F.array_distinct(hashes), thinned)
+    def around(v):
+        return _with(F.concat(v, v), lambda w: F.transform(v, lambda _, i: F.xxhash64(F.lit(-1), F.slice(w, i + 1, F.least(F.lit(rows), F.size(v))))))
+
+    def keys(v):
+        cut = _with(F.slice(v, F.lit(1), F.lit(values)), ahead)
+        return F.when(F.size(v) > values, cut).when(F.size(v) < rows, around(v)).otherwise(F.concat(around(v), ahead(v)))
+
+    return _with(F.slice(F.sort_array(F.array_distinct(hashes)), F.lit(1), F.lit(values + 1)), keys)
 
 
 def _pivots(keyed: DataFrame) -> DataFrame:
-    """keyed (id, n, band) with pivot, the most frequent unit of each band; bands of one member go.
+    """keyed (id, n, band) with pivot, the most frequent unit of each band, and large, whether it has more than SMALL
+    members; bands of one member go.
 
     Bands that many units of a sample share are dealt out to parts, of which the pivots of the whole band are put
     together by partial sums; so no task holds a hot bucket.
     """
     sample = keyed.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).groupBy("band").agg(F.count(F.lit(1)).alias("__n"))
     hot = materialize(sample.filter(F.col("__n") >= HOT).orderBy(F.desc("__n"), "band").limit(MOST_HOT).select("band", F.lit(True).alias("hot")), "hot")
-    dealt = keyed.join(F.broadcast(hot), "band", "left").withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("id", F.lit(7)), F.lit(PARTS))).otherwise(F.lit(0)))
-    bucket = Window.partitionBy("band", "part")
-    most = F.max(F.struct("n", (-F.col("id")).alias("id"))).over(bucket)
-    members = dealt.withColumn("size", F.count(F.lit(1)).over(bucket)).withColumn("best", most).filter("size > 1 or hot")
-    members = materialize(members.select("band", "id", "n", (-F.col("best.id")).alias("pivot"), "hot"), "members")
+    by, crowded = ["band"], not hot.isEmpty()
+    if crowded:
+        keyed = keyed.join(F.broadcast(hot), "band", "left").withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("id", F.lit(7)), F.lit(PARTS))).otherwise(F.lit(0)))
+        by = ["band", "part"]
+    most = F.max(F.struct("n", (-F.col("id")).alias("id"))).over(Window.partitionBy(*by))
+    members = keyed.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(*by))).withColumn("pivot", -most["id"])
+    if not crowded:
+        return materialize(members.filter("size > 1").select("band", "id", "n", "pivot", (F.col("size") > SMALL).alias("large")), "buckets")
+    members = materialize(members.filter("size > 1 or hot").select("band", "id", "n", "pivot", "hot", (F.col("hot").isNotNull() | (F.col("size") > SMALL)).alias("large")), "members")
     whole = members.filter("hot").groupBy("band").agg((-F.max(F.struct("n", (-F.col("id")).alias("id")))["id"]).alias("of_all"))
-    return members.join(F.broadcast(whole), "band", "left").select("band", "id", "n", F.coalesce("of_all", "pivot").alias("pivot"))
+    return materialize(members.join(F.broadcast(whole), "band", "left").select("band", "id", "n", F.coalesce("of_all", "pivot").alias("pivot"), "large"), "buckets")
 
 
-def _compared(pairs: DataFrame, units: DataFrame, hashes: Callable[[Column], Column], threshold: float, residuals: bool = False) -> DataFrame:
-    """pairs (a, b) with near, whether the exact Jaccard of their shingles reaches threshold.
+def _compared(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], hashes: Callable[[Column], Column], threshold: float) -> DataFrame:
+    """pairs (a, b, large) with apart, their Jaccard distance, and near, whether they reach threshold.
 
-    With residuals also apart, the Jaccard distance; size, the number of shingles of a; length, that of its prefix (see
-    _rest); own, the shingles that b lacks; and common, as many shingles of both, by hash, as the prefix has room for.
+    For large ones also size, the number of shingles of a; length, that of its prefix (see _rest); own, the shingles that
+    b lacks; and common, as many shingles of both, by hash, as the prefix has room for.
     """
-    texts = units.select("id", "text")
+    pairs = materialize(pairs, "pairs")
+    texts = materialize(texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), "texts", "zstd")
     met = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "x"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "y"}), "b")
-    sets = met.select("a", "b", F.array_distinct(hashes(F.col("x"))).alias("x"), F.array_distinct(hashes(F.col("y"))).alias("y"))
+    sets = met.select("a", "b", "large", F.array_distinct(hashes(F.col("x"))).alias("x"), F.array_distinct(hashes(F.col("y"))).alias("y"))
     sets = sets.withColumn("both", F.array_intersect("x", "y")).withColumn("size", F.size("x"))
     common = F.size("both")
-    jaccard = common / (F.size("x") + F.size("y") - common)
-    near = (jaccard >= threshold).alias("near")
-    if not residuals:
-        return materialize(sets.select("a", "b", near), "compared")
+    jaccard = common / (F.col("size") + F.size("y") - common)
     length = F.col("size") - F.ceil(F.round(threshold * F.col("size"), 9)).cast("int") + 1
-    room = F.greatest(F.lit(0), length - F.size("x") + common)
-    return materialize(sets.select("a", "b", near, (1 - jaccard).alias("apart"), "size", length.alias("length"), F.array_except("x", "both").alias("own"), F.slice(F.sort_array("both"), F.lit(1), room).alias("common")), "compared")
-
-
-def _rest(first: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs of units that were compared with the same pivot, aren't connected, and may reach threshold.
-
-    Prefix filter: the shingles of a pivot's units are ordered by rarity, those of the pivot itself last. Two sets can't
-    reach the threshold unless they share one among their first size - ceil(threshold * size) + 1, at ranks that leave
-    room for the overlap they need. Edits are rare, so variants of a pivot that differ from each other seldom do.
-    As Jaccard distance is a metric, units that the pivot is connected with are needed only as far from it as the nearest
-    other unit is, less the distance that the threshold allows.
-    Lists whose units are all connected go at once; in others the units of the largest component meet the others only.
+    own = F.when(F.col("large"), F.array_except("x", "both"))
+    room = F.when(F.col("large"), F.slice(F.sort_array("both"), F.lit(1), F.greatest(F.lit(0), length - F.col("size") + common)))
+    made = materialize(sets.select("a", "b", "large", (1 - jaccard).alias("apart"), (jaccard >= threshold).alias("near"), "size", length.alias("length"), own.alias("own"), room.alias("common")), "compared")
+    discard(pairs, texts)
+    return made
+
+
+def _rest(members: DataFrame, first: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of units of one bucket that aren't connected, haven't met, and may reach threshold.
+
+    Jaccard distance is a metric, so two units can be near only if they are about as far from their pivot as each other.
+    In small buckets all such pairs meet. In large ones a prefix filter comes first: the shingles of a pivot's units are
+    ordered by rarity, those of the pivot itself last. Two sets can't reach the threshold unless they share one among
+    their first size - ceil(threshold * size) + 1, at ranks that leave room for the overlap they need. Edits are rare, so
+    variants of a pivot that differ from each other seldom do. Lists whose units are all connected go at once; in others
+    the units of the largest component meet the others only.
     """
+    far, slack = 1 - threshold + 1e-9, 1 - threshold
     rooted = first.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     rooted = rooted.join(roots.select(F.col("node").alias("b"), F.col("root").alias("of_pivot")), "b", "left").withColumn("of_pivot", F.coalesce("of_pivot", "b"))
-    mixed = rooted.filter("root <> of_pivot").groupBy("b").agg(F.min("apart").alias("nearest"))
-    rooted = rooted.join(mixed, "b").filter((F.col("root") != F.col("of_pivot")) | (F.col("apart") >= F.col("nearest") - (1 - threshold) - 1e-9))
-    alone = rooted.groupBy("b").agg((F.min("root") == F.max("root")).alias("alone")).filter("alone").select("b")
-    tokens = rooted.join(alone, "b", "left_anti").select("b", F.col("a").alias("id"), "root", "size", "length", F.size("own").alias("owned"), F.posexplode(F.concat("own", "common")).alias("at", "token"))
+    rooted = materialize(rooted, "rooted")
+
+    small = members.filter("not large and id <> pivot").join(rooted.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "root", "apart"), ["id", "pivot"]).select("band", "id", "root", "apart")
+    other = small.withColumnsRenamed({"id": "y", "root": "of_y", "apart": "y_apart"})
+    met = small.join(other, "band").filter((F.col("id") > F.col("y")) & (F.col("root") != F.col("of_y")) & (F.abs(F.col("apart") - F.col("y_apart")) <= far))
+    few = met.select(F.col("id").alias("a"), F.col("y").alias("b")).distinct()
+
+    wide = rooted.filter("large")
+    mixed = wide.filter("root <> of_pivot").groupBy("b").agg(F.min("apart").alias("nearest"))
+    wide = wide.join(mixed, "b").filter((F.col("root") != F.col("of_pivot")) | (F.col("apart") >= F.col("nearest") - slack - 1e-9))
+    alone = wide.groupBy("b").agg((F.min("root") == F.max("root")).alias("alone")).filter("alone").select("b")
+    tokens = wide.join(alone, "b", "left_anti").select("b", F.col("a").alias("id"), "root", "apart", "size", "length", F.size("own").alias("owned"), F.posexplode(F.concat("own", "common")).alias("at", "token"))
     tokens = materialize(tokens.withColumn("known", F.col("at") >= F.col("owned")).drop("at", "owned"), "tokens")
     counts = tokens.groupBy("b", "token").agg(F.count(F.lit(1)).alias("m"))
     ranked = tokens.join(counts, ["b", "token"]).withColumn("rank", F.row_number().over(Window.partitionBy("b", "id").orderBy("known", "m", "token")))
-    posted = materialize(ranked.filter("rank <= length and m > 1").select("b", "token", "id", "root", "size", "rank"), "postings")
+    posted = materialize(ranked.filter("rank <= length and m > 1").select("b", "token", "id", "root", "apart", "size", "rank"), "postings")
     lists = posted.groupBy("b", "token", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("b", "token").agg(F.max(F.struct("m", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("roots"))
     lists = posted.join(lists.filter("roots > 1").select("b", "token", "most"), ["b", "token"])
-    other = lists.withColumnsRenamed({"id": "y", "root": "of_y", "size": "size_y", "rank": "rank_y"}).drop("most")
-    need = F.ceil(F.round(F.lit(threshold / (1 + threshold)) * (F.col("size") + F.col("size_y")), 9))
-    fits = (F.col("root") != F.col("of_y")) & (F.col("size") - F.col("rank") + 1 >= need) & (F.col("size_y") - F.col("rank_y") + 1 >= need)
-    meet = lists.filter("root <> most").join(other, ["b", "token"]).filter(fits)
-    discard(tokens)
-    return meet.select(F.greatest("id", "y").alias("a"), F.least("id", "y").alias("b")).distinct()
-
-
-def similarity_links(units: DataFrame, hashes: Callable[[Column], Column], threshold: float, bands: int, rows: int, rounds: int = 2) -> DataFrame:
-    """(a, b): links of exact Jaccard threshold or more between units (id, text, n), enough to connect all that the
-    colliding pairs connect.
-
-    hashes: the hashed shingles of a text. n: how often a unit occurs. In each bucket all members are compared with one
-    pivot, the most frequent unit, which near copies are made from; those that don't match it are compared with the most
-    frequent among them, rounds times in all. What has been connected so far needn't meet again; other pairs of a bucket
-    meet if a prefix filter lets them. So a bucket of m near copies makes about m pairs, not m^2.
+    other = lists.withColumnsRenamed({"id": "y", "root": "of_y", "apart": "y_apart", "size": "y_size", "rank": "y_rank"}).drop("most")
+    need = F.ceil(F.round(F.lit(threshold / (1 + threshold)) * (F.col("size") + F.col("y_size")), 9))
+    fits = (F.col("size") - F.col("rank") + 1 >= need) & (F.col("y_size") - F.col("y_rank") + 1 >= need) & (F.abs(F.col("apart") - F.col("y_apart")) <= far)
+    met = lists.filter("root <> most").join(other, ["b", "token"]).filter((F.col("root") != F.col("of_y")) & fits)
+    return few.union(met.select(F.greatest("id", "y").alias("a"), F.least("id", "y").alias("b"))).distinct()
+
+
+def similarity_links(keyed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], hashes: Callable[[Column], Column], threshold: float, rounds: int = 2) -> DataFrame:
+    """(a, b): links of exact Jaccard threshold or more between units, enough to connect all that the colliding pairs connect.
+
+    keyed: (id, n, band), the keys of each unit, which occurs n times. texts_of: from a column id to (id, text). hashes: the
+    hashed shingles of a text. In each bucket all members are compared with one pivot, the most frequent unit, which near
+    copies are made from; those that don't match it are compared with the most frequent among them, rounds times in all.
+    What has been connected so far needn't meet again; for other pairs of a bucket see _rest. So a bucket of m near
+    copies makes about m pairs, not m^2.
     """
-    keyed = units.select("id", "n", F.explode(band_keys(hashes(F.col("text")), bands, rows, threshold)).alias("band"))
-    left, links, first = keyed, None, None
+    whole = left = links = first = None
     for _ in range(rounds):
-        members = materialize(_pivots(left), "buckets")
+        members = _pivots(keyed if left is None else left)
         apart = members.filter("id <> pivot")
-        got = _compared(apart.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), units, hashes, threshold, first is None)
-        first = got if first is None else first
-        links = got.filter("near").select("a", "b") if links is None else links.union(got.filter("near").select("a", "b"))
+        pairs = apart.groupBy(F.col("id").alias("a"), F.col("pivot").alias("b")).agg(F.max("large").alias("large"))
+        got = _compared(pairs if left is None else pairs.withColumn("large", F.lit(False)), texts_of, hashes, threshold)
+        near = got.filter("near").select("a", "b")
+        if left is None:
+            whole, first, links = members, got, near
+        else:
+            links = links.union(near)
         left = apart.join(got.filter(~F.col("near")).select(F.col("a").alias("id"), F.col("b").alias("pivot")), ["id", "pivot"]).select("band", "id", "n")
     roots = materialize(components(links), "roots")
-    last = _compared(_rest(first, roots, threshold), units, hashes, threshold)
+    last = _compared(_rest(whole, first, roots, threshold).withColumn("large", F.lit(False)), texts_of, hashes, threshold)
     return links.union(last.filter("near").select("a", "b"))
 
 
-def unit_classes(docs: DataFrame, key: str, text: str, normal: Callable[[Column], Column], hashes: Callable[[Column], Column], threshold: float, bands: int, rows: int) -> DataFrame:
-    """(key, unit, first_key, first_unit, members, keep) for every line of docs that isn't empty after normal.
+def place_of(key: str, unit: str) -> Column:
+    """A number that orders places by a long key, nulls last, and a number from 0 within it."""
+    return F.expr(f"cast(coalesce(cast({key} as decimal(19,0)), 9999999999999999999BD) * 10000000000BD + {unit} as decimal(38,0))")
+
+
+def first_place(place: str, key: str, unit: str) -> list[Column]:
+    """The key and the number of a place."""
+    of_unit = F.expr(f"pmod({place}, 10000000000BD)")
+    of_key = F.when(F.col(place) < F.expr("9999999999999999999BD * 10000000000BD"), ((F.col(place) - of_unit) / F.expr("10000000000BD")).cast("long"))
+    return [of_key.alias(key), of_unit.cast("int").alias(unit)]
+
+
+def unit_classes(docs: DataFrame, key: str, text: str, normal: Callable[[Column], Column], hashes: Callable[[Column], Column], keys: Callable[[Column], Column], threshold: float, extra: dict[str, Column] | None = None) -> DataFrame:
+    """(key, unit, first_key, first_unit, members, *extra, keep) for every line of docs that isn't empty after normal.
 
     unit counts the lines of a text from 0. first_*: the smallest (key, unit) of the line's class, which is kept; members:
-    how many lines the class has. Equal lines are one unit from the start. Null keys come after all others. Keys are integers.
+    how many lines the class has. hashes: the hashed shingles of a text as normal gives it, keys: those under which it
+    meets others. extra: more columns, from the line's text as normal gives it. Equal lines are one unit
+    from the start. Null keys come after all others. Keys are integers.
     """
-    lines = docs.select(F.col(key).cast("long").alias("k"), F.posexplode(F.split(F.col(text), "\n")).alias("unit", "line")).select("k", "unit", normal(F.col("line")).alias("text")).filter("text <> ''")
+    split = docs.select(F.col(key).cast("long").alias("k"), F.posexplode(F.split(F.col(text), "\n")).alias("unit", "line"))
+    lines = split.select("k", "unit", normal(F.col("line")).alias("text")).filter("text <> ''")
     names = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), F.col("text")).alias("h2")]
-    place = F.expr("cast(coalesce(cast(k as decimal(19,0)), 9999999999999999999BD) * 10000000000BD + unit as decimal(38,0))")
-    units = lines.select("text", place.alias("place")).groupBy("text").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"))
-    units = materialize(units.select(F.monotonically_increasing_id().alias("id"), *names, "text", "place", "n"), "units", "zstd")
-    roots = components(similarity_links(units.select("id", "text", "n"), hashes, threshold, bands, rows))
+    signed = materialize(lines.select("k", "unit", *names, keys(F.col("text")).alias("keys"), *[c.alias(x) for x, c in (extra or {}).items()]), "signed")
+    placed = signed.withColumn("place", place_of("k", "unit"))
+    units = placed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
+    units = materialize(units.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "place", "n", "keys"), "units")
+    lines = materialize(signed.drop("keys"), "lines")
+    discard(signed)
+    of_place = units.select("id", "h1", *first_place("place", "of", "at"))
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        wanted = materialize(of_place.join(ids, "id"), "wanted")
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+        found = split.join(wanted, split["k"].eqNullSafe(F.col("of")) & (split["unit"] == F.col("at")))
+        found = found.select("id", "h1", normal(F.col("line")).alias("text")).filter(F.xxhash64("text") == F.col("h1"))  # keys may repeat
+        return found.select("id", "text").dropDuplicates(["id"])
+
+    roots = components(similarity_links(units.select("id", "n", F.explode("keys").alias("band")), texts_of, hashes, threshold))
     rooted = units.select("id", "h1", "h2", "place", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rooted = materialize(rooted, "rooted")
     discard(units)
     firsts = rooted.groupBy("root").agg(F.min("place").alias("first"), F.sum("n").alias("members"))
     classes = rooted.join(firsts, "root").select("h1", "h2", "first", "members")
-    found = lines.select("k", "unit", *names, place.alias("place")).join(classes, ["h1", "h2"])
-    first_unit = F.expr("pmod(first, 10000000000BD)")
-    first_key = F.when(F.col("first") < F.expr("9999999999999999999BD * 10000000000BD"), ((F.col("first") - first_unit) / F.expr("10000000000BD")).cast("long"))
-    return found.select(F.col("k").alias(key), "unit", first_key.alias("first_key"), first_unit.cast("int").alias("first_unit"), "members", (F.col("place") == F.col("first")).alias("keep"))
+    found = lines.withColumn("place", place_of("k", "unit")).join(classes, ["h1", "h2"])
+    return found.select(F.col("k").alias(key), "unit", *first_place("first", "first_key", "first_unit"), "members", *(extra or {}), (F.col("place") == F.col("first")).alias("keep"))

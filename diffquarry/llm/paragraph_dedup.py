@@ -1,14 +1,27 @@
-"""Substring deduplication of paragraphs by MinHash banding of word shingles."""
+"""Substring deduplication: paragraphs by MinHash banding of word shingles, passages inside them by their windows' minima."""
 
 from __future__ import annotations
 
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import table
-from .minhash import tune, unit_classes, word_hashes
+from .common import BLANKS, discard, materialize, table
+from .minhash import band_keys, first_place, place_of, tune, unit_classes, word_hashes
 
 WIDTH, THRESHOLD, ROWS, RECALL = 5, 0.8, 3, 0.99
+#: Words of a window, and of a passage that can't be missed if two documents share it.
+SPAN, LEAST = 20, 50
+BLANK = " " + BLANKS
+PIECE = re.compile(r"[\x20\x09-\x0D]+|[^\x20\x09-\x0D]+")
+#: Odd multipliers that mix the words of a shingle.
+MIXERS = np.array([2 * k + 1 for k in np.random.default_rng(5).integers(1 << 62, size=WIDTH).tolist()], np.uint64)
 
 
 def normal_paragraph(line: Column) -> Column:
@@ -17,21 +30,160 @@ def normal_paragraph(line: Column) -> Column:
 
 
 def paragraph_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
-    """(key, paragraph, first_key, first_paragraph, keep) for every paragraph of docs that has a word.
+    """(key, paragraph, first_key, first_paragraph, members, words, keep) for every paragraph of docs that has a word.
 
     Paragraphs are the lines of a text. They are similar if the sets of their word shingles (width; a shorter paragraph is
     one shingle) have a Jaccard of threshold or more, verified exactly for all that meet in a band; the number of bands is
     tuned so that pairs at the threshold meet with probability recall. Classes are connected components of whole texts'
-    paragraphs; the smallest (key, paragraph) of each is kept. Null and empty texts have no row. A null key comes last and
-    is returned as null. Rows that repeat a key and its paragraph are one, kept or dropped together. Empty tables give
-    empty results; other columns aren't read.
+    paragraphs, of members paragraphs; the smallest (key, paragraph) of each is kept. Null and empty texts have no row. A
+    null key comes last and is returned as null. Rows that repeat a key and its paragraph are one, kept or dropped together.
+    Empty tables give empty results; other columns aren't read.
     """
-    found = unit_classes(docs, key, text, normal_paragraph, lambda t: word_hashes(t, width), threshold, tune(threshold, rows, recall), rows)
+    hashes, values = lambda t: word_hashes(t, width), tune(threshold, rows, recall)
+    keys = lambda t: band_keys(hashes(t), values, rows)
+    found = unit_classes(docs, key, text, normal_paragraph, hashes, keys, threshold, {"words": F.size(F.split("text", " ")).cast("long")})
     return found.withColumnsRenamed({"unit": "paragraph", "first_unit": "first_paragraph"})
 
 
+def split_words(text: str | None) -> list[bytes]:
+    """Words [^\\x20\\x09-\\x0D]+, lowered."""
+    return text.lower().encode("utf-8", "surrogatepass").split() if text else []
+
+
+def window_starts(words: list[bytes], span: int, least: int) -> np.ndarray:
+    """Where the windows of span words begin by which a text is known: of any least - span + 1 neighbours the one whose
+    first shingle has the least hash.
+
+    So two texts that share least words share a window: among those wholly inside the passage both take the same.
+    """
+    n = len(words) - span + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    hashes = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    mixed = sum(hashes[i : i + n] * m for i, m in enumerate(MIXERS))
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * MIXERS[0]
+    size, step, found = min(n, least - span + 1), 1 << 16, []
+    for at in range(0, n - size + 1, step):
+        part = mixed[at : at + step + size - 1]
+        found.append(at + np.arange(len(part) - size + 1) + np.lib.stride_tricks.sliding_window_view(part, size).argmin(axis=1))
+    return np.unique(np.concatenate(found))
+
+
+def windows(docs: DataFrame, key: str, text: str, span: int, least: int) -> DataFrame:
+    """(k, at, h1, h2): the windows of every text, the words before each, and 128 bits that stand for its words."""
+
+    def batches(it):
+        from xxhash import xxh3_128_digest
+
+        for b in it:
+            for start in range(0, b.num_rows, 256):
+                part = b.slice(start, 256)
+                keys, at, hashes = [], [], []
+                for k, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    words = split_words(t.as_py())
+                    starts = window_starts(words, span, least).tolist()
+                    keys += [k] * len(starts)
+                    at += starts
+                    hashes += [xxh3_128_digest(b" ".join(words[i : i + span])) for i in starts]
+                both = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(at, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["k", "at", "h1", "h2"])
+
+    return docs.select(F.col(key).cast("long").alias("k"), F.col(text)).mapInArrow(batches, "k long, at long, h1 long, h2 long")
+
+
+def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, least: int = LEAST) -> DataFrame:
+    """(key, at, first_key, keep): windows of span words that stand in more than one place, at words from their text's
+    start, whatever its lines; the smallest (key, at) of equal windows is kept.
+
+    Any passage of least words that two texts share, in lower case and up to white space, holds such a window. Texts of
+    fewer than span words have none, as have null and empty ones. A null key comes last. Rows that repeat a key count
+    as one text, so a passage that only they share isn't repeated. An empty table gives an empty result. Hot windows are
+    added up before they are shuffled.
+    """
+    made = materialize(windows(docs, key, text, span, least).withColumn("place", place_of("k", "at")), "windows")
+    seen = made.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first < last").drop("last")
+    found = made.join(seen, ["h1", "h2"]).select("k", "at", *first_place("first", "first_key", "first_at"), (F.col("place") == F.col("first")).alias("keep")).drop("first_at").distinct()
+    found = materialize(found, "repeats")
+    discard(made)
+    return found.withColumnRenamed("k", key)
+
+
+def _covered(spans: DataFrame, span: int, name: str) -> DataFrame:
+    """(k, name): words of each text that lie in a span."""
+    before = F.max(F.col("at") + span).over(Window.partitionBy("k").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    new = F.col("at") + span - F.greatest(F.col("at"), F.coalesce(before, F.lit(0)))
+    return spans.withColumn("new", F.greatest(F.lit(0), new)).groupBy("k").agg(F.sum("new").alias(name))
+
+
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, least: int = LEAST, **how) -> DataFrame:
+    """One row for every row of docs: what of it other places repeat, and what goes.
+
+    n_paragraphs, n_repeated (in a class of several), n_removed (all but the first of each class); passage_words and
+    removed_words: words in repeated windows, and in those that aren't the first; kept_in: the keys that hold the first copy
+    of what goes, ascending; classes: those of its repeated paragraphs and windows, each by the key of its first copy;
+    repeated: whether the text has a repeated window, or a repeated paragraph of span words or more.
+    Texts without words have zeros. Rows with one key share its figures, those with a null key theirs. See paragraph_classes
+    and repeated_windows.
+    """
+    found = repeated_windows(docs, key, text, span, least).withColumnRenamed(key, "k")
+    classes = paragraph_classes(docs, key, text, **how).withColumnRenamed(key, "k")
+    again = F.col("members") > 1
+    long_ = F.coalesce(F.max(again & (F.col("words") >= span)), F.lit(False)).alias("long")
+    in_lines = classes.groupBy("k").agg(F.count(F.lit(1)).alias("n_paragraphs"), F.count_if(again).alias("n_repeated"), F.count_if(~F.col("keep")).alias("n_removed"), long_)
+    firsts = found.select("k", "first_key", "keep").union(classes.filter(again).select("k", "first_key", "keep"))
+    firsts = firsts.groupBy("k").agg(F.array_sort(F.collect_set(F.when(~F.col("keep"), F.col("first_key")))).alias("kept_in"), F.array_sort(F.collect_set("first_key")).alias("classes"))
+    parts = [in_lines, _covered(found, span, "passage_words"), _covered(found.filter(~F.col("keep")), span, "removed_words"), firsts]
+    made = docs.select(F.col(key).cast("long").alias("k"))
+    for part in parts:
+        part = part.withColumnRenamed("k", "of")
+        made = made.join(part, made["k"].eqNullSafe(part["of"]), "left").drop("of")
+    none = F.array().cast("array<bigint>")
+    made = made.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_paragraphs", "n_repeated", "n_removed", "passage_words", "removed_words")} | {c: F.coalesce(c, none) for c in ("kept_in", "classes")})
+    repeated = F.coalesce("long", F.lit(False)) | (F.col("passage_words") > 0)
+    return made.select(F.col("k").alias(key), "n_paragraphs", "n_repeated", "n_removed", "passage_words", "removed_words", "kept_in", "classes", repeated.alias("repeated"))
+
+
+def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, least: int = LEAST, **how) -> DataFrame:
+    """docs with their texts cut down to first copies: paragraphs that aren't kept go, and words in windows that aren't.
+
+    Needs unique keys; rows with a null key share what goes. Words stay apart by what stood before them; texts of which
+    nothing goes are untouched. The columns are those of docs.
+    """
+    spans = repeated_windows(docs, key, text, span, least).filter(~F.col("keep")).groupBy(key).agg(F.collect_set("at").alias("__spans")).withColumnRenamed(key, "__k1")
+    lines = paragraph_classes(docs, key, text, **how).filter(~F.col("keep")).groupBy(key).agg(F.collect_set(F.col("paragraph").cast("long")).alias("__lines")).withColumnRenamed(key, "__k2")
+    joined = docs.join(spans, docs[key].cast("long").eqNullSafe(F.col("__k1")), "left").join(lines, docs[key].cast("long").eqNullSafe(F.col("__k2")), "left")
+
+    def cuts(texts: pd.Series, at: pd.Series, gone: pd.Series) -> pd.Series:
+        return pd.Series([cut_text(*x, span) for x in zip(texts, at, gone, strict=True)], dtype=object)
+
+    cut = F.pandas_udf(cuts, "string")
+    some = F.col("__spans").isNotNull() | F.col("__lines").isNotNull()
+    return joined.select(*[F.when(some, cut(docs[c], F.col("__spans"), F.col("__lines"))).otherwise(docs[c]).alias(c) if c == text else docs[c] for c in docs.columns])
+
+
+def cut_text(text: str | None, spans, lines, span: int) -> str | None:
+    """text without the given lines and without the span words from each place of spans on."""
+    if text is None:
+        return None
+    starts, gone = set([] if spans is None else spans), set([] if lines is None else lines)
+    kept, at, until = [], 0, 0
+    for i, line in enumerate(text.split("\n")):
+        held, before = [], ""
+        for piece in PIECE.findall(line):
+            if piece[0] in BLANK:
+                before = piece
+                continue
+            until = at + span if at in starts else until
+            if at >= until and i not in gone:
+                held.append(before + piece)
+            at, before = at + 1, ""
+        if i not in gone and (held or not line.strip(BLANK)):
+            kept.append("".join(held) + before)
+    return "\n".join(kept)
+
+
 def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraph_classes(table(spark, sf_dir, "documents")).withColumnRenamed("first_key", "first_doc_id")
+    return repeats(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op5_paragraph_dedup": op5_paragraph_dedup}

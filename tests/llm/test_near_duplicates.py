@@ -220,3 +220,60 @@ def test_hot_bucket(spark, monkeypatch):
     want = brute(texts, str.strip, lambda u: [u[i : i + 8] for i in range(max(1, len(u) - 7))])
     assert sum(got[k] != want[k] for k in want) <= 0.01 * len(want)
     assert sum(compared) < 30 * len(texts)
+
+
+def passages(seed):
+    """Texts of which some share 50 to 120 words somewhere in their lines, and those that do."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 8)))
+    shared = [[word() for _ in range(rnd.randrange(50, 120))] for _ in range(12)]
+    rows, planted = [], set()
+    for i in range(120):
+        words = [word() for _ in range(rnd.randrange(0, 300))]
+        if i % 3 == 0:
+            at = rnd.randrange(len(words) + 1)
+            words[at:at] = [w.upper() if rnd.random() < 0.1 else w for w in shared[i // 3 % 12]]
+            planted.add(i)
+        rows.append((i, "".join(w + rnd.choice([" ", " ", " ", "  ", "\n"] if i % 2 else " ") for w in words)))
+    return rows, planted
+
+
+def test_passages_inside_lines(spark):
+    rows, planted = passages(5)
+    odd = [(500, None), (501, ""), (502, "tiny\ntiny"), (None, "a b c"), (503, "x " * 70000), (504, "x " * 70000)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string").withColumn("at", F.lit("clash")).withColumn("k", F.lit("clash"))
+    got = {r.doc_id: r for r in paragraph_dedup.repeats(docs).collect()}
+    assert len(got) == len(rows) + len(odd)
+    assert {k for k, r in got.items() if r.repeated} == planted | {503, 504}
+    first = {min(i for i in planted if i // 3 % 12 == g) for g in range(12)}
+    assert {k for k in planted if got[k].removed_words} == planted - first
+    assert all(min(i for i in planted if i // 3 % 12 == k // 3 % 12) in got[k].kept_in for k in planted - first)
+    assert (got[502].n_paragraphs, got[502].n_repeated, got[502].n_removed, got[502].repeated) == (2, 2, 1, False)
+    assert (got[500].n_paragraphs, got[500].kept_in, got[501].passage_words) == (0, [], 0)
+    kept = paragraph_dedup.drop_repeats(docs)
+    assert kept.columns == docs.columns
+    texts = {r.doc_id: r.text for r in kept.collect()}
+    by_id = dict(rows + odd)
+    for k in got:
+        if not got[k].n_removed and not got[k].removed_words:
+            assert texts[k] == by_id[k]
+        elif not got[k].n_removed:
+            assert len(texts[k].split()) == len(by_id[k].split()) - got[k].removed_words
+    assert texts[502] == "tiny" and texts[504] == ""
+    assert paragraph_dedup.repeats(docs.limit(0)).count() == 0
+
+
+def test_windows_of_shared_passages():
+    """Any shared run of LEAST words has a window that both texts take."""
+    rnd = random.Random(3)
+    word = lambda: rnd.choice("abcdefgh").encode() * rnd.randrange(1, 4)
+    for _ in range(300):
+        run = [word() for _ in range(50)]
+        taken = []
+        for _ in range(2):
+            words = [word() for _ in range(rnd.randrange(0, 90))]
+            at = len(words)
+            words += run + [word() for _ in range(rnd.randrange(0, 90))]
+            taken.append({s - at for s in paragraph_dedup.window_starts(words, 20, 50).tolist() if 0 <= s - at <= 30})
+        assert taken[0] & taken[1]
+    assert paragraph_dedup.window_starts([b"a"] * 19, 20, 50).tolist() == []
