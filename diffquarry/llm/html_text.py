@@ -6,6 +6,7 @@ import html
 import math
 import re
 from collections import deque
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,80 +17,112 @@ from .common import table
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
 SPACE = re.compile(r"\s+")
-NAME = re.compile(r"[a-z]+")
+NAME, WORDS = re.compile(r"[a-z]+"), re.compile(r"\S+")
+#: Hidden parts aren't silent: they are weighed like others, against this.
+HIDDEN, HIDDEN_COST = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden"), -2.0
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page.
-SILENT = frozenset("script style noscript template title textarea select option button svg math iframe object audio video canvas head datalist".split())
-RAW = frozenset("script style textarea title noscript template iframe svg".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: What an opening tag ends if it is still open.
+#: Elements whose content is no text of the page: code, fields of forms, and what stands in for media that can't be shown.
+SILENT = frozenset("script style noscript template title textarea select option iframe object audio video canvas head datalist".split())
+RAW = frozenset("script style textarea title noscript template iframe".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br button cite code data del dfn em font i img ins kbd label mark math q rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr "
+    "mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot munder mover munderover mstyle mpadded semantics annotation".split()
+)
+#: What an opening tag ends if it is still open, up to the list or table around it.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+HOLDERS = ("ul", "ol", "dl", "table", "tbody")
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+CORE = ("article", "main")
 
-#: Strong evidence against outweighs all evidence for; evidence for adds up to 4 at most.
-#: Evidence for (above 0) or against an article in the tags, roles and names around a block, in nats.
-TAG_COST = {"article": 4.0, "main": 3.0, "nav": -8.0, "footer": -8.0, "aside": -8.0, "form": -8.0, "menu": -8.0, "dialog": -8.0, "header": -4.0, "fieldset": -6.0, "address": -1.0}
+#: Evidence for (above 0) or against an article in the tags, roles and names around a block, in nats. Evidence against
+#: counts by the strongest element around a block, evidence for adds up to 4 at most.
+TAG_COST = {"article": 4.0, "main": 3.0, "nav": -8.0, "footer": -8.0, "aside": -8.0, "form": -8.0, "menu": -8.0, "dialog": -8.0, "header": -4.0, "fieldset": -6.0, "address": -1.0, "button": -4.0, "svg": -2.0}
 ROLE_COST = {"main": 3.0, "article": 4.0, "navigation": -8.0, "banner": -6.0, "contentinfo": -8.0, "complementary": -8.0, "search": -8.0, "dialog": -8.0, "alert": -8.0, "alertdialog": -8.0, "menu": -8.0, "menubar": -8.0, "form": -8.0}
-NAME_COST = dict.fromkeys(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side aside menu nav navbar navigation breadcrumb "
-    "breadcrumbs footer foot masthead share sharing social related recommended recommendations comment comments commentlist reply replies disqus discussion responses newsletter subscribe subscription signup login widget widgets search "
-    "toolbar pagination pager copyright legal disclaimer skip tags tagcloud trending popular".split(), -8.0,
-) | dict.fromkeys("article content story post entry body main text prose".split(), 1.5) | {"header": -4.0}
+BOILERPLATE = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar aside menu nav navbar navigation breadcrumb "
+    "breadcrumbs footer foot masthead share sharing social related recommended recommendations comment comments commentlist reply replies disqus discussion respond responses newsletter subscribe subscription signup login "
+    "widget widgets search toolbar pagination pager copyright legal disclaimer skip tags tagcloud trending popular header".split()
+)
+#: Parts of names that say where or what a box is, not what it holds.
+NEUTRAL = frozenset(
+    "area bar bars block body bottom box boxes btn button buttons cloud col column columns container content desktop details entry fixed float footer form global group header heading holder icon icons inner item items left "
+    "link links list main meta middle mobile module outer page panel part post posts primary right row secondary section site slot sticky story stories text thread title top unit user users view wrap wrapper zone".split()
+)
+GOOD = frozenset("article content story post entry main prose".split())
+
+
+def name_cost(name: str, inside: bool) -> float:
+    """Nats of one class or id. It must be made of words for boilerplate, besides neutral ones, as a whole: 'site-footer'
+    and 'cookie-notice' are, 'no-sidebar', 'has-comments' and 'social-science' say something else."""
+    parts = NAME.findall(name)
+    bad = [x for x in parts if x in BOILERPLATE and not (inside and x == "header")]
+    if bad and all(x in BOILERPLATE or x in NEUTRAL for x in parts):
+        return -4.0 if bad == ["header"] else -8.0
+    return 1.5 if parts and not bad and all(x in GOOD or x in NEUTRAL for x in parts) and any(x in GOOD for x in parts) else 0.0
+
+
+class Element:
+    """One element: what it says about its content, and what it holds."""
+
+    __slots__ = ("tag", "parent", "tag_cost", "cost", "core", "cores", "chars", "below")
+
+    def __init__(self, tag: str, parent: Element | None, attributes: str):
+        self.tag, self.parent, self.chars, self.below = tag, parent, 0, 0.0
+        inside = parent is not None and parent.core
+        self.tag_cost, names, role = 0.0 if inside and tag == "header" else TAG_COST.get(tag, 0.0), 0.0, 0.0
+        if attributes and ("=" in attributes or "hidden" in attributes):
+            costs = []
+            for m in ATTRIBUTE.finditer(attributes):
+                key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+                if key in ("class", "id", "itemprop", "data-role"):
+                    costs += [name_cost(n, inside) for n in WORDS.findall(value)]
+                elif key == "role":
+                    role = ROLE_COST.get(value.strip(), 0.0)
+                elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and HIDDEN.search(value):
+                    costs.append(HIDDEN_COST)
+            names = min(costs, default=0.0) or max(costs, default=0.0)
+        self.cost = min(self.tag_cost, names, role) if min(self.tag_cost, names, role) < 0 else self.tag_cost + names + role
+        own = (tag in CORE or role > 2) and self.cost >= 0
+        self.core, self.cores = own or inside and self.cost > -8, int(own)
 
 
 class Block:
     """Text between two block boundaries, with the elements around it."""
 
-    __slots__ = ("path", "pieces", "linked", "chars", "cost", "tag")
+    __slots__ = ("element", "holder", "tag", "pieces", "linked", "chars", "apart")
 
-    def __init__(self, path: tuple[int, ...], cost: float, tag: str):
-        self.path, self.pieces, self.linked, self.chars, self.cost, self.tag = path, [], 0, 0, cost, tag
+    def __init__(self, element: Element, holder: tuple[int, int], tag: str, apart: int):
+        self.element, self.holder, self.tag, self.apart, self.pieces, self.linked, self.chars = element, holder, tag, apart, [], 0, 0
 
     def text(self) -> str:
         return SPACE.sub(" ", html.unescape("".join(self.pieces))).strip()
 
 
-def evidence(tag: str, attributes: str, inside: bool) -> tuple[float, bool]:
-    """(nats, hidden) of one element; inside: within an article or main element, whose own header is no page header."""
-    got = TAG_COST.get(tag, 0.0)
-    if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return (0.0 if inside and tag == "header" else got), "hidden" in attributes
-    names, hidden = set(), False
-    for m in ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key in ("class", "id", "itemprop", "data-role", "aria-label"):
-            names.update(NAME.findall(value))
-        elif key == "role":
-            got += ROLE_COST.get(value.strip(), 0.0)
-        elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            hidden = True
-    if inside and (tag == "header" or "header" in names):
-        names.discard("header")
-        got = max(got, 0.0)
-    costs = [NAME_COST[n] for n in names if n in NAME_COST]
-    return got + min(costs, default=0.0), hidden
-
-
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order; scripts, styles, comments, forms' fields and hidden parts have none.
-
-    Tags that never close, close twice or close in the wrong order only end what they can.
+def blocks(page: str) -> tuple[list[Block], list[Element]]:
+    """The text blocks of a page in order, and its elements; scripts, styles, comments and fields have no text.
+
+    Tags that never close, close twice or close in the wrong order only end what they can. Each tag is handled in time that
+    doesn't grow with the depth.
     """
+    root = Element("", None, "")
     made: list[Block] = []
-    stack: list[tuple[str, float, bool, int]] = [("", 0.0, False, 0)]  # tag, evidence so far, inside an article, number
-    number, links, silent, block, at = 0, 0, 0, None, 0
+    elements, stack = [root], [root]
+    open_: dict[str, list[int]] = {}  # places in the stack by tag
+    walls = [0]  # places in the stack of all that isn't inline
+    links, silent, block, low, at = 0, 0, None, 1, 0  # low: fewest walls since the last block began
 
     def add(text: str):
-        nonlocal block
+        nonlocal block, low
         if silent or not text:
             return
         if block is None:
             if not text.strip():
                 return
-            path = tuple(x[3] for x in stack if x[0] not in INLINE)
-            tag = next((x[0] for x in reversed(stack) if x[0] not in INLINE), "")
-            block = Block(path, stack[-1][1], tag)
+            before = made[-1].holder[1] if made else 1
+            inner = stack[walls[-1]]
+            block = Block(stack[-1], (id(stack[walls[-2]]) if len(walls) > 1 else 0, len(walls)), inner.tag, before + len(walls) - 2 * low)
+            low = len(walls)
             made.append(block)
         block.pieces.append(text)
         n = len(text) - text.count(" ")
@@ -97,12 +130,17 @@ def blocks(page: str) -> list[Block]:
         block.linked += n if links else 0
 
     def close(upto: int):
-        nonlocal links, silent
+        nonlocal links, silent, low
         while len(stack) > upto:
-            tag = stack.pop()[0]
-            links -= tag == "a"
-            silent -= tag in SILENT or tag == "\0hidden"
-
+            e = stack.pop()
+            open_[e.tag].pop()
+            if walls[-1] == len(stack):
+                walls.pop()
+            links -= e.tag == "a"
+            silent -= e.tag in SILENT
+        low = min(low, len(walls))
+
+    last = lambda tag: open_[tag][-1] if open_.get(tag) else 0
     while at < len(page):
         m = TOKEN.search(page, at)
         if not m:
@@ -116,46 +154,65 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = m[2].lower()
         if m[1]:
-            found = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if found and (tag not in INLINE or all(x[0] in INLINE for x in stack[found:])):
-                close(found - (stack[found - 1][0] == "\0hidden"))
+            found = last(tag)
+            if found and (tag not in INLINE or walls[-1] < found):
+                close(found)
         else:
             if tag not in INLINE:
-                i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p"), 0)
-                if i and all(x[0] in INLINE for x in stack[i + 1 :]):
-                    close(i)
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in ENDS.get(tag, ()):
-                        close(i)
-                        break
-                    if stack[i][0] in ("ul", "ol", "dl", "table", "tbody"):
-                        break
+                if (p := last("p")) and walls[-1] == p:
+                    close(p)
+                if tag in ENDS and (ended := max(map(last, ENDS[tag]))) > max(map(last, HOLDERS)):
+                    close(ended)
             if tag not in VOID and not m[3].rstrip().endswith("/"):
-                _, cost, inside, _ = stack[-1]
-                nats, hidden = evidence(tag, m[3], inside)
-                number += 1
-                if hidden:
-                    stack.append(("\0hidden", cost, inside, number))
-                    silent += 1
-                cost = min(cost, nats, 0.0) if min(cost, nats) < -3 else min(4.0, cost + nats)
-                stack.append((tag, cost, (inside or tag in ("article", "main")) and nats > -8, number))
+                e = Element(tag, stack[-1], m[3])
+                elements.append(e)
+                open_.setdefault(tag, []).append(len(stack))
+                if tag not in INLINE:
+                    walls.append(len(stack))
+                stack.append(e)
                 links += tag == "a"
                 silent += tag in SILENT
                 if tag in RAW:
-                    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                    end = _end_of(tag).search(page, at)
                     at = end.start() if end else len(page)
         if tag not in INLINE:
             block = None
         elif tag == "br":
             add(" ")
-    return made
+    return made, elements
+
+
+@cache
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+
+
+def weigh(found: list[Block], elements: list[Element]) -> None:
+    """Sets for each element what it and those around it say about a block in it (below).
+
+    Evidence against is set aside where it can't hold: in html and body, and in an element that has all articles of the page,
+    or most of its unlinked text while no article stands elsewhere.
+    """
+    for b in found:
+        b.element.chars += b.chars - b.linked
+    for e in reversed(elements[1:]):
+        e.parent.chars += e.chars
+        e.parent.cores += e.cores
+    all_, cores = elements[0].chars, elements[0].cores
+    around = lambda e: e.parent is not None and e.parent.core  # noqa: E731  an article holds it
+    for e in elements[1:]:
+        cost = e.cost
+        if cost < 0 and (e.tag in ("html", "body") or cores == e.cores and not around(e) and (cores or 2 * e.chars > all_)):
+            cost = 0.0
+        above = e.parent.below
+        e.below = min(cost, above) if min(cost, above) < 0 else min(4.0, above + cost)
 
 
 def classify(b: Block, text: str) -> float:
     """Nats for content against boilerplate of one block by itself: what stands around it, links, length, marks."""
     words = text.count(" ") + 1
     density = b.linked / max(1, b.chars)
-    nats = b.cost + min(3.0, 0.6 * math.log1p(words)) - 1.5 - 5.0 * density
+    nats = b.element.below + min(3.0, 0.6 * math.log1p(words)) - 1.5 - 5.0 * density
     if b.tag == "p":
         nats += 1.0
     elif b.tag in HEADINGS:
@@ -232,30 +289,24 @@ def minimum_cut(n: int, terminal: list[float], edges: list[tuple[int, int, float
                 break
 
 
-def _apart(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    """Steps between two blocks in the tree."""
-    same = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        same += 1
-    return len(a) + len(b) - 2 * same
-
-
 def main_text(page: str | None, smoothness: float = 1.2) -> str:
-    """The article of a page: blocks on the content side of the cut, joined by an empty line; '' for null or empty."""
-    found = [(b, t) for b in blocks(page or "") if (t := b.text())]
+    """The article of a page: blocks on the content side of the cut, joined by an empty line; '' for null or empty.
+
+    Neighbours are tied by an edge that weakens with the steps between them in the tree, blocks of one parent by another.
+    """
+    made, elements = blocks(page or "")
+    weigh(made, elements)
+    found = [(b, t) for b in made if (t := b.text())]
     if not found:
         return ""
     terminal = [classify(b, t) for b, t in found]
     edges, last = [], {}
     for i, (b, _) in enumerate(found):
         if i:
-            edges.append((i - 1, i, smoothness / (1 + 0.5 * _apart(found[i - 1][0].path, b.path))))
-        parent = b.path[:-1]
-        if last.get(parent, i - 1) != i - 1:
-            edges.append((last[parent], i, smoothness / 2))
-        last[parent] = i
+            edges.append((i - 1, i, smoothness / (1 + 0.5 * b.apart)))
+        if last.get(b.holder[0], i - 1) != i - 1:
+            edges.append((last[b.holder[0]], i, smoothness / 2))
+        last[b.holder[0]] = i
     kept = minimum_cut(len(found), terminal, edges)
     return "\n\n".join(t for (_, t), k in zip(found, kept, strict=True) if k)
 
@@ -264,7 +315,8 @@ def extract(pages: DataFrame, key: str = "page_id", markup: str = "html", url: s
     """(key, url, text, n_chars) of every row: the main text and its code points.
 
     Null and empty markup give an empty text. Repeated rows stay; an empty table gives an empty result; other columns
-    aren't read. A page is handled by itself, so no rows are shuffled.
+    aren't read. Very long and very deep pages are handled whole, in time about proportional to their size. A page is
+    handled by itself, so no rows are shuffled.
     """
 
     def batches(it):

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -209,7 +210,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var x = "</p>";</sc
 <div class="cookie-notice">We use cookies on this site, please accept all of them now.</div>
 <main><article><header><h1>The &eacute;tude</h1></header><p>First <b>bold paragraph of   the article,</b> with
 a line end &amp; a&nbsp;space.<p>Second one, never closed, long enough to be a text.<!-- hidden <p>no</p> --><ul><li>point one<li>point two</ul>
-<form><p>Subscribe to our newsletter today.</p><input type=text><button>Go</button></form><p style="display:none">Invisible words are here.</p></article></main>
+<form><p>Subscribe to our newsletter today.</p><input type=text><button>Go</button></form><p style="display:none">Ad</p></article></main>
 <aside><p>Some other story that has nothing to do with it.</p></aside><div id="comments"><p>I liked this article very much, thank you.</p></div>
 <div class="ad">Buy things now, they are cheap and good.</div><footer><p>Copyright notice of the site.</p></footer></body>"""
 
@@ -222,6 +223,38 @@ def test_main_text():
     assert html_text.main_text("<article>" + "<div>" * 3000 + "<p>Deep text that still counts as a paragraph.</article>")
 
 
+LONG = "This is the text of the story, which goes on for a while and says what happened, where and to whom."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body class='no-sidebar single-post'><h1>Title</h1><p>{LONG}</p></body>", ["Title", LONG]),
+        (f"<div class='post has-comments'><h2>Title</h2><p>{LONG}</p></div><footer>Imprint and privacy</footer>", ["Title", LONG]),
+        (f"<nav><a href=/>Home</a></nav><article id='navigation-systems'><p>{LONG}</p></article>", [LONG]),
+        (f"<main><section class='main-text social-science'><p>{LONG}</p></section></main><div class='cookie-notice'><p>{LONG}</p></div>", [LONG]),
+        (f"<form id=aspnet><div id=page><div class=site-header><a href=/>Home</a></div><p>{LONG}</p><p>{LONG}</p></div></form>", [LONG, LONG]),
+        (f"<body class='home with-sidebar comments-open'><article><p>{LONG}</p></article><div class='sidebar-right widget-area'><p>{LONG}</p></div></body>", [LONG]),
+        (f"<article><p>{LONG}</p></article><section id=comments><article class=comment><p>{LONG}</p></article><article><p>{LONG}</p></article></section>", [LONG]),
+        (f"<article><p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds, the sum is even and the rest follows from it.</p><p>{LONG}</p></article>", ["Where x=2 holds, the sum is even and the rest follows from it.", LONG]),
+        (f"<article><p>{LONG}</p><aside><p>{LONG}</p></aside><p>{LONG}</p></article>", [LONG, LONG]),
+        (f"<article><header><h1>Title</h1></header><p>{LONG}<script>if (a < b) c('</p>')</script></p><ul><li>one point of the list<li>another one</ul></article>", ["Title", LONG, "one point of the list", "another one"]),
+        (f"<div id=header><p>Site of the paper</p></div><div class='content'><p>{LONG}</p><p>{LONG}</p><table><tr><td>Cell one<td>Cell two</table></div><div id=footer><p>All rights reserved.</p></div>", [LONG, LONG, "Cell one", "Cell two"]),
+        (f"<article><p>{LONG}</p><p hidden>{LONG}</p><form><p>{LONG}</p><input><button>Send</button></form></article>", [LONG, LONG]),
+    ],
+)
+def test_main_text_of_written_pages(page, want):
+    assert html_text.main_text(page).split("\n\n") == want
+
+
+def test_deep_pages_take_linear_time():
+    start = time.monotonic()
+    page = "<article>" + "<div><p>" * 8000 + LONG + "</article>"
+    assert html_text.main_text(page) == LONG
+    assert html_text.main_text("<article>" + f"<p>{LONG}</p>" * 8000 + "</article>").count(LONG) == 8000
+    assert time.monotonic() - start < 8
+
+
 def test_cut_is_minimal():
     rnd = random.Random(1)
     for _ in range(60):
