@@ -62,9 +62,9 @@ def signature(text: Column) -> Column:
     chars = F.split(text, "")
     state = F.aggregate(
         chars,
-        F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end")),
+        F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end")),  # depth stays 0 until the first "("
         lambda s, c: F.struct(
-            (s["depth"] + F.when(s["end"] > 0, 0).when(c == "(", 1).when(c == ")", -1).otherwise(0)).alias("depth"),
+            (s["depth"] + F.when(s["end"] > 0, 0).when(c == "(", 1).when((c == ")") & (s["depth"] > 0), -1).otherwise(0)).alias("depth"),
             (s["at"] + 1).alias("at"),
             F.when(s["end"] > 0, s["end"]).when((c == ")") & (s["depth"] == 1), s["at"] + 1).otherwise(F.lit(0)).alias("end"),
         ),

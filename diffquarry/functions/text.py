@@ -39,11 +39,11 @@ def strip_space(text: Column) -> Column:
 
 
 def gram_hashes(text: Column, width: int) -> Column:
-    """Hashes of all runs of width characters; none for a shorter text. Cut piecewise, as characters are found by counting."""
-    piece, starts = 64, F.length(text) - width + 1
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((starts - 1) / piece).cast("int")), lambda c: F.substring(text, c * piece + 1, F.lit(piece + width - 1)))
-    found = F.flatten(F.transform(pieces, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - width + 1), lambda i: F.xxhash64(F.substring(p, i, F.lit(width))))))
-    return F.when(starts >= 1, found).otherwise(F.array().cast("array<bigint>"))
+    """Hashes of all runs of width characters; none for a shorter text. In UTF-32 each run is a slice of fixed size."""
+    size = 4 * width
+    runs = lambda b: F.transform(F.sequence(F.lit(1), F.length(b) - size + 1, F.lit(4)), lambda i: F.xxhash64(F.substring(b, i, F.lit(size))))
+    none = F.array().cast("array<bigint>")
+    return F.get(F.transform(F.array(F.encode(text, "UTF-32")), lambda b: F.when(F.length(b) >= size, runs(b)).otherwise(none)), F.lit(0))
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -186,13 +186,12 @@ def cost_text(cost: Column) -> Column:
 
 
 # File-like tokens of prose.
-FILE_LIKE = r"[\w./\\-]+\.[A-Za-z0-9]{1,8}"
+FILE_LIKE = r"[\p{L}\p{N}_./\\-]+\.[A-Za-z0-9]{1,8}"
 
 
 def mentions_only(prose: Column, allowed: Column) -> Column:
     """Whether every file-like token of prose is in the array allowed, by path or last part; numbers don't count."""
     tokens = F.regexp_extract_all(F.coalesce(prose, F.lit("")), F.lit(f"({FILE_LIKE})"), F.lit(1))
-    names = F.transform(tokens, lambda t: F.replace(t, F.lit("\\"), F.lit("/")))
     last = lambda p: F.element_at(F.split(p, "/"), -1)
     bases = F.transform(allowed, last)
-    return F.forall(F.filter(names, lambda t: ~t.rlike(r"^[0-9.]+$")), lambda t: F.array_contains(allowed, t) | F.array_contains(bases, last(t)))
+    return F.forall(F.filter(tokens, lambda t: ~t.rlike(r"^[0-9.]+$")), lambda t: F.array_contains(allowed, t) | F.array_contains(bases, last(t)))

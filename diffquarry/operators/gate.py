@@ -19,12 +19,17 @@ def containment(needles: DataFrame, evidence: DataFrame, needle: str = "quoted_c
 
     Quotations under 8 characters never count. Each needle is posted under one gram, that of the least hash; evidence
     meets it by equality of a gram that it holds, so no needle meets a text that lacks it; contains() then decides.
+    A gram's row carries a key of its text; the texts themselves are joined to the distinct pairs that meet.
     """
     bare = needles.withColumn("__bare", strip_space(F.coalesce(F.col(needle), F.lit("")))).filter(F.length("__bare") >= gram)
-    wanted = bare.withColumn("__gram", F.array_min(gram_hashes(F.col("__bare"), gram)))
-    texts = evidence.select(*[F.col(c).alias(f"e_{c}") for c in evidence.columns], strip_space(F.coalesce(F.col(text), F.lit(""))).alias("__text"))
-    posted = texts.select("*", F.explode(F.array_distinct(gram_hashes(F.col("__text"), gram))).alias("__gram"))
-    return posted.join(wanted, "__gram").filter(F.col("__text").contains(F.col("__bare"))).drop("__gram", "__text", "__bare")
+    wanted = bare.select("__bare").distinct().withColumn("__gram", F.array_min(gram_hashes(F.col("__bare"), gram)))
+    plain = evidence.withColumn("__text", strip_space(F.coalesce(F.col(text), F.lit(""))))
+    keyed = plain.withColumns({"__k1": F.xxhash64("__text"), "__k2": F.xxhash64(F.lit("second"), F.col("__text"))})
+    posted = keyed.select("__k1", "__k2", F.explode(F.array_distinct(gram_hashes(F.col("__text"), gram))).alias("__gram"))
+    pairs = posted.join(wanted, "__gram").select("__k1", "__k2", "__bare").distinct()
+    texts = keyed.select("__k1", "__k2", "__text", *[F.col(c).alias(f"e_{c}") for c in evidence.columns])
+    held = texts.join(pairs, ["__k1", "__k2"]).filter(F.col("__text").contains(F.col("__bare"))).drop("__k1", "__k2", "__text")
+    return held.join(bare, "__bare").drop("__bare")
 
 
 def quotes(needles: DataFrame, evidence: DataFrame, needle: str = "quoted_code", text: str = "text") -> DataFrame:

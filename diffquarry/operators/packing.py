@@ -2,52 +2,68 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 # Token budgets of a review's context and of one call's diff.
 CONTEXT_TOKENS, CALL_TOKENS = 25_000, 6_000
 
 
+def ordered_fold(rows: DataFrame, group: list[str], order: list, numbers: list[Column], start, step: Callable, name: str, kind: str) -> DataFrame:
+    """rows with a column that a fold over each group in order gives: step(state, *numbers) -> (state, value).
+
+    Groups are sorted within partitions and folded as their rows pass, so a group needn't fit in memory; a fold is
+    sequential, so one group is one task's work. Null numbers count as 0.
+    """
+    given = [f"__x{i}" for i in range(len(numbers))]
+    wide = rows.withColumns({g: F.coalesce(n.cast("long"), F.lit(0)) for g, n in zip(given, numbers, strict=True)})
+    spread = (wide.repartition(*group) if group else wide.repartition(1)).sortWithinPartitions(*group, *order)
+    own, keys, values = len(rows.columns), [rows.columns.index(c) for c in group], range(len(rows.columns), len(wide.columns))
+    fields = [*rows.schema.fields, StructField(name, StringType() if kind == "string" else IntegerType())]
+
+    def run(batches):
+        key, state = None, start
+        for b in batches:
+            made = []
+            names = zip(*(b.column(i).to_pylist() for i in keys), strict=True) if keys else [()] * b.num_rows
+            for k, v in zip(names, zip(*(b.column(i).to_pylist() for i in values), strict=True), strict=True):
+                if k != key:
+                    key, state = k, start
+                state, value = step(state, *v)
+                made.append(value)
+            yield pa.RecordBatch.from_arrays([*b.columns[:own], pa.array(made, pa.string() if kind == "string" else pa.int32())], names=[f.name for f in fields])
+
+    return spread.mapInArrow(run, StructType(fields))
+
+
 def pack(blocks: DataFrame, group: list[str], order: list[str], size: str, short: str, must: str, budget: int) -> DataFrame:
     """blocks with kept ('whole', 'short' or 'dropped'), by a greedy fold in order over each group.
 
     A row that must be kept or still fits stays whole and uses its size, even past the budget; else its short form is
     tried; else it is dropped. Later, smaller rows may still fit. Rows that must be kept come first, then by order.
-    A group is one fold, so it must fit a task, as the budgets of one review do; only its numbers are gathered.
     """
-    w = Window.partitionBy(*group).orderBy(F.desc(must), *order)
-    numbered = blocks.withColumn("__n", F.row_number().over(w))
-    items = F.array_sort(F.collect_list(F.struct("__n", F.col(size).cast("long").alias("size"), F.col(short).cast("long").alias("short"), F.col(must).alias("must"))))
 
-    def step(state, x):
-        whole = x["must"] | (state["used"] + x["size"] <= budget)
-        brief = ~whole & (state["used"] + x["short"] <= budget)
-        took = F.when(whole, x["size"]).when(brief, x["short"]).otherwise(F.lit(0).cast("long"))
-        kept = F.when(whole, F.lit("whole")).when(brief, F.lit("short")).otherwise(F.lit("dropped"))
-        return F.struct((state["used"] + took).alias("used"), F.concat(state["kept"], F.array(kept)).alias("kept"))
+    def step(used, whole, brief, needed):
+        if needed or used + whole <= budget:
+            return used + whole, "whole"
+        return (used + brief, "short") if used + brief <= budget else (used, "dropped")
 
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("kept"))
-    folds = numbered.groupBy(*group).agg(F.aggregate(items, start, step)["kept"].alias("__kept")) if group else numbered.agg(F.aggregate(items, start, step)["kept"].alias("__kept"))
-    joined = numbered.join(folds, group) if group else numbered.crossJoin(folds)
-    return joined.withColumn("kept", F.element_at("__kept", F.col("__n"))).drop("__n", "__kept")
+    return ordered_fold(blocks, group, [F.desc(must), *order], [F.col(size), F.col(short), F.col(must)], 0, step, "kept", "string")
 
 
 def bins(items: DataFrame, group: list[str], order: list[str], size: str, most: int) -> DataFrame:
     """items with bin, from 0: a new bin opens when a bin that isn't empty would exceed most; large items stand alone."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    numbered = items.withColumn("__n", F.row_number().over(w))
-    sizes = F.array_sort(F.collect_list(F.struct("__n", F.col(size).cast("long").alias("size"))))
 
     def step(state, x):
-        opens = (state["used"] > 0) & (state["used"] + x["size"] > most)
-        at = state["bin"] + F.when(opens, 1).otherwise(0)
-        return F.struct(F.when(opens, x["size"]).otherwise(state["used"] + x["size"]).alias("used"), at.alias("bin"), F.concat(state["bins"], F.array(at)).alias("bins"))
+        used, at = state
+        used, at = (x, at + 1) if used > 0 and used + x > most else (used + x, at)
+        return (used, at), at
 
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("bin"), F.array().cast("array<int>").alias("bins"))
-    folds = numbered.groupBy(*group).agg(F.aggregate(sizes, start, step)["bins"].alias("__bins"))
-    return numbered.join(folds, group).withColumn("bin", F.element_at("__bins", F.col("__n"))).drop("__n", "__bins")
+    return ordered_fold(items, group, order, [F.col(size)], (0, 0), step, "bin", "int")
 
 
 def added_up(cost: Column) -> Column:

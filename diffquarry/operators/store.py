@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import written
+
 REVIEW_KEY = ["platform", "repo", "head_sha"]
 # Signals that count for and against a finding.
 THUMBS_UP, THUMBS_DOWN = ("+1", "thumbsup"), ("-1", "thumbsdown")
@@ -32,9 +34,9 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...
 def assign_ids(rows: DataFrame, order: list[str], after: int = 0, name: str = "id") -> DataFrame:
     """rows with dense ids from after + 1 in order, without one task for all rows.
 
-    Ranges are sorted apart; the counts of the ranges before, one for each partition, are added.
+    Ranges are sorted apart and written once; the counts of the ranges before, one for each partition, are added.
     """
-    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
+    spread = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()))
     spread = spread.withColumn("__p", F.shiftright("__m", 33))
     counts = spread.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")

@@ -26,15 +26,21 @@ def unseen_stream(rows: DataFrame, keys: list[str], column: str, late: str = "1
 def upsert_stream(rows: DataFrame, target: str, keys: list[str], newest: list[str], checkpoint: str) -> StreamingQuery:
     """Keep a table at target with the newest row of each key; each batch is written to a new version, then named.
 
-    A batch that is run again writes the same version, so a retry replaces what it wrote before.
+    A batch that is run again writes the same version, so a retry replaces what it wrote before. A batch builds on the
+    version before it, which must be there and complete; versions before that are removed.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         now = latest(batch, keys, newest)
-        if number and _exists(spark, f"{target}/v{number - 1}"):
+        if number:
+            if not _exists(spark, f"{target}/v{number - 1}/_SUCCESS"):
+                raise RuntimeError(f"version {number - 1} of {target} is absent or incomplete")
             now = upsert(spark.read.parquet(f"{target}/v{number - 1}"), now, keys)
         now.write.mode("overwrite").parquet(f"{target}/v{number}")
+        for old in [v for v in _versions(spark, target) if v < number - 1]:
+            p = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v{old}")
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -44,10 +50,15 @@ def _exists(spark, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def newest_version(spark, target: str) -> DataFrame:
+def _versions(spark, target: str) -> list[int]:
     p = spark._jvm.org.apache.hadoop.fs.Path(target)
     names = [f.getPath().getName() for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
-    return spark.read.parquet(f"{target}/v{max(int(n[1:]) for n in names if n[:1] == 'v' and n[1:].isdigit())}")
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
+
+
+def newest_version(spark, target: str) -> DataFrame:
+    """The newest version that is complete."""
+    return spark.read.parquet(f"{target}/v{max(v for v in _versions(spark, target) if _exists(spark, f'{target}/v{v}/_SUCCESS'))}")
 
 
 RESOLVED = "key string, fingerprint string, kind string, count int"
