@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import calls, text
-from ..operators import diff, evaluate, gate, intervals, packing, render, store
+from ..operators import costs, diff, evaluate, gate, intervals, packing, render, store
 from ..sources import cases
 from ..sources.scratch import scratch
 
@@ -381,3 +381,62 @@ def q30_nested_json_round_trip(spark, sf_dir):
     got = sent.select(F.from_json("json", cases.INGEST).alias("r")).select("r.*")
     found = cases.ingest_findings(got.withColumns({c: F.coalesce(c, F.lit("")) for c in ("platform", "pr_number", "head_sha")}).withColumn("platform", F.col("repo")))
     return found.groupBy(F.col("platform").alias("repo"), "posted").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 2).alias("total"))
+
+
+_PLANNED = """
+SELECT source, lang, CASE WHEN lang = 'en' THEN 'review' ELSE 'verify' END AS phase, CAST(greatest(1, floor(length(text) / 4)) AS BIGINT) AS tokens,
+round_even(greatest(1, floor(length(text) / 4)) * CASE lang WHEN 'en' THEN 0.000003 WHEN 'fr' THEN 0.000001 WHEN 'de' THEN 0.000002 END
++ 800 * CASE lang WHEN 'en' THEN 0.000015 WHEN 'fr' THEN 0.000005 WHEN 'de' THEN 0.0 END, 6) AS cost FROM documents
+"""
+
+
+def _planned(spark, sf_dir):
+    """Every document as the prompt of a call, its language as the model; one language has no price."""
+    prices = spark.createDataFrame([("en", 0.000003, 0.000015), ("fr", 0.000001, 0.000005), ("de", 0.000002, 0.0)], "model string, price_in double, price_out double")
+    docs = _t(spark, sf_dir, "documents").select("source", "lang", F.col("lang").alias("model"), F.col("text").alias("prompt"), F.when(F.col("lang") == "en", "review").otherwise("verify").alias("phase"))
+    return costs.plan(docs, prices)
+
+
+@query(f"""
+SELECT source, lang, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, CASE WHEN bool_and(cost IS NOT NULL) THEN round(sum(cost), 4) END AS cost FROM ({_PLANNED}) GROUP BY source, lang
+""")
+def q31_cost_plan(spark, sf_dir):
+    return costs.summed(_planned(spark, sf_dir), ["source", "lang"]).withColumn("cost", F.round("cost", 4))
+
+
+@query(f"""
+WITH s AS (SELECT source, phase, count(*) AS calls, CASE WHEN bool_and(cost IS NOT NULL) THEN sum(cost) END AS cost FROM ({_PLANNED}) WHERE lang <> 'es' OR length(source) % 2 = 0 GROUP BY source, phase),
+t AS (SELECT *, CASE WHEN count(*) FILTER (WHERE cost IS NULL) OVER w = 0 THEN sum(cost) OVER w END AS through FROM s WINDOW w AS (PARTITION BY source ORDER BY phase ROWS UNBOUNDED PRECEDING))
+SELECT source, phase, calls, round(through, 4) AS through, NOT bool_or(coalesce(through > 0.4, false)) OVER (PARTITION BY source ORDER BY phase ROWS UNBOUNDED PRECEDING) AS runs FROM t
+""")
+def q32_phase_ceiling(spark, sf_dir):
+    rows = _planned(spark, sf_dir).filter((F.col("lang") != "es") | (F.length("source") % 2 == 0))
+    got = costs.phase_gate(rows, ["source"], F.lit(0.4), {"review": 0, "verify": 1})
+    return got.select("source", "phase", "calls", F.round("through", 4).alias("through"), "runs")
+
+
+@query("SELECT user_id, count(*) AS made, count(*) FILTER (WHERE value > 50) AS failed, count(*) = count(*) FILTER (WHERE value > 50) AS all_failed FROM events GROUP BY user_id")
+def q33_call_tally(spark, sf_dir):
+    return costs.tally(_t(spark, sf_dir, "events").select("user_id", (F.col("value") > 50).alias("failed")), ["user_id"])
+
+
+@query("""
+WITH n AS (SELECT event_type, 'user ' || user_id AS name, CAST(count(*) AS VARCHAR) AS t FROM events GROUP BY event_type, user_id),
+w AS (SELECT *, max(length(name)) OVER (PARTITION BY event_type) AS w FROM n)
+SELECT event_type, sha1(string_agg(rpad(name, CAST(w AS INTEGER), ' ') || '  ' || t, chr(10) ORDER BY name, t)) AS report FROM w GROUP BY event_type
+""")
+def q34_aligned_report(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").groupBy("event_type", F.concat(F.lit("user "), "user_id").alias("name")).agg(F.count(F.lit(1)).cast("string").alias("t"))
+    return render.aligned(rows, ["event_type"], "name", "t").select("event_type", F.sha1(F.col("report").cast("binary")).alias("report"))
+
+
+@query("""
+WITH r AS (SELECT o_orderpriority AS review, 'f' || o_custkey % 7 AS file, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders),
+f AS (SELECT review, file, min(rank) AS place, string_agg('- **' || o_orderstatus || '** line ' || o_orderkey || ': order', chr(10) ORDER BY rank) AS body FROM r GROUP BY review, file)
+SELECT review, sha1(string_agg('### `' || file || '`' || chr(10) || body, chr(10) || chr(10) ORDER BY place)) AS text FROM f GROUP BY review
+""")
+def q35_markdown_report(spark, sf_dir):
+    w = Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    rows = _t(spark, sf_dir, "orders").withColumn("rank", F.row_number().over(w))
+    posted = rows.select(F.col("o_orderpriority").alias("review"), F.concat(F.lit("f"), F.col("o_custkey") % 7).alias("file"), F.col("o_orderkey").alias("line"), F.col("o_orderstatus").alias("severity"), F.lit("order").alias("title"), "rank")
+    return render.markdown(posted, ["review"]).select("review", F.sha1(F.col("text").cast("binary")).alias("text"))
