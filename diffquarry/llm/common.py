@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import gc
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +60,18 @@ def discard(*tables: DataFrame) -> None:
         df.sparkSession._jvm.System.gc()
 
 
+def send(spark: SparkSession, value) -> Callable:
+    """A function for executors that gives value, which they unpack once each; its classes travel by value with it."""
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get():
+        if not hasattr(held, "unpacked"):
+            held.unpacked = pickle.loads(held.value)
+        return held.unpacked
+
+    return get
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, UPPER, LOWER)

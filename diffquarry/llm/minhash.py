@@ -237,28 +237,27 @@ def unit_classes(docs: DataFrame, key: str, text: str, normal: Callable[[Column]
     from the start. Null keys come after all others. Keys are integers.
     """
     split = docs.select(F.col(key).cast("long").alias("k"), F.posexplode(F.split(F.col(text), "\n")).alias("unit", "line"))
-    lines = split.select("k", "unit", normal(F.col("line")).alias("text")).filter("text <> ''")
+    lines = materialize(split.select("k", "unit", normal(F.col("line")).alias("text")).filter("text <> ''"), "lines", "zstd")
     names = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), F.col("text")).alias("h2")]
     signed = materialize(lines.select("k", "unit", *names, keys(F.col("text")).alias("keys"), *[c.alias(x) for x, c in (extra or {}).items()]), "signed")
     placed = signed.withColumn("place", place_of("k", "unit"))
     units = placed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
     units = materialize(units.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "place", "n", "keys"), "units")
-    lines = materialize(signed.drop("keys"), "lines")
+    places = materialize(signed.drop("keys"), "places")
     discard(signed)
     of_place = units.select("id", "h1", *first_place("place", "of", "at"))
 
     def texts_of(ids: DataFrame) -> DataFrame:
         wanted = materialize(of_place.join(ids, "id"), "wanted")
         wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-        found = split.join(wanted, split["k"].eqNullSafe(F.col("of")) & (split["unit"] == F.col("at")))
-        found = found.select("id", "h1", normal(F.col("line")).alias("text")).filter(F.xxhash64("text") == F.col("h1"))  # keys may repeat
-        return found.select("id", "text").dropDuplicates(["id"])
+        found = lines.join(wanted, lines["k"].eqNullSafe(F.col("of")) & (lines["unit"] == F.col("at")))
+        return found.filter(F.xxhash64("text") == F.col("h1")).select("id", "text").dropDuplicates(["id"])  # keys may repeat
 
     roots = components(similarity_links(units.select("id", "n", F.explode("keys").alias("band")), texts_of, hashes, threshold))
     rooted = units.select("id", "h1", "h2", "place", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rooted = materialize(rooted, "rooted")
-    discard(units)
+    discard(units, lines)
     firsts = rooted.groupBy("root").agg(F.min("place").alias("first"), F.sum("n").alias("members"))
     classes = rooted.join(firsts, "root").select("h1", "h2", "first", "members")
-    found = lines.withColumn("place", place_of("k", "unit")).join(classes, ["h1", "h2"])
+    found = places.withColumn("place", place_of("k", "unit")).join(classes, ["h1", "h2"])
     return found.select(F.col("k").alias(key), "unit", *first_place("first", "first_key", "first_unit"), "members", *(extra or {}), (F.col("place") == F.col("first")).alias("keep"))

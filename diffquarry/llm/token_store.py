@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, table
 
-#: White space where a text can't be cut at its spaces and line ends without changing its pieces.
-ODD_SPACE = re.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
 #: A word of plain Latin letters, then marks: two pieces for the tokenizer's own pattern.
 WORD_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ſ]+)([!-&(-/:-@\[-`{-~]+)")
 #: Pieces that a worker remembers.
@@ -42,28 +40,32 @@ class Encoder:
     """Ids of whole texts as little-endian uint32 bytes, equal to those of one call for the whole text.
 
     The byte-level pattern always cuts before a single space and around a single line end, so pieces between them
-    are encoded once and remembered; texts with other white space go to the tokenizer whole.
+    are encoded once and remembered. Texts with other white space, or with the string of an added token, which the
+    tokenizer looks for first, go to it whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.first = Pieces(self.tokenizer, "", None)
         self.later = Pieces(self.tokenizer, " ", self.first)
         self.line_end = self.first["\n"]
 
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if ODD_SPACE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        made = []
-        for line in text.split("\n"):
-            head, *rest = line.split(" ")
-            made.append(self.first[head])
-            made.extend(map(self.later.__getitem__, rest))
+        lines = [line.split(" ") for line in text.split("\n")]
+        if any("" in x for x in lines) or sum(map(len, lines)) != len(text.split()) or any(a in text for a in self.added):
+            return self.whole(text)
+        made, first, later = [], self.first, self.later.__getitem__
+        for line in lines:
+            made.append(first[line[0]])
+            made.extend(map(later, line[1:]))
             made.append(self.line_end)
         made.pop()
         return b"".join(made)
