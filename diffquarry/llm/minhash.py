@@ -228,36 +228,45 @@ def first_place(place: str, key: str, unit: str) -> list[Column]:
     return [of_key.alias(key), of_unit.cast("int").alias(unit)]
 
 
-def unit_classes(docs: DataFrame, key: str, text: str, normal: Callable[[Column], Column], hashes: Callable[[Column], Column], keys: Callable[[Column], Column], threshold: float, extra: dict[str, Column] | None = None) -> DataFrame:
-    """(key, unit, first_key, first_unit, members, *extra, keep) for every line of docs that isn't empty after normal.
+def split_lines(docs: DataFrame, key: str, text: str, normal: Callable[[Column], Column], keys: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """lines (k, unit, text) and signed (k, unit, h1, h2, keys), written: every line of docs that isn't empty after normal.
 
-    unit counts the lines of a text from 0. first_*: the smallest (key, unit) of the line's class, which is kept; members:
-    how many lines the class has. hashes: the hashed shingles of a text as normal gives it, keys: those under which it
-    meets others. extra: more columns, from the line's text as normal gives it. Equal lines are one unit
-    from the start. Null keys come after all others. Keys are integers.
+    unit counts the lines of a text from 0; h1 and h2 stand for the line's text; keys: those under which it meets others.
     """
     split = docs.select(F.col(key).cast("long").alias("k"), F.posexplode(F.split(F.col(text), "\n")).alias("unit", "line"))
     lines = materialize(split.select("k", "unit", normal(F.col("line")).alias("text")).filter("text <> ''"), "lines", "zstd")
     names = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), F.col("text")).alias("h2")]
-    signed = materialize(lines.select("k", "unit", *names, keys(F.col("text")).alias("keys"), *[c.alias(x) for x, c in (extra or {}).items()]), "signed")
+    return lines, materialize(lines.select("k", "unit", *names, keys(F.col("text")).alias("keys")), "signed")
+
+
+def unit_classes(lines: DataFrame, signed: DataFrame, key: str, hashes: Callable[[Column], Column], threshold: float, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(key, unit, first_key, first_unit, members, *extra, keep) for every line.
+
+    lines, signed: see split_lines; lines may hold h1, too. extra: more columns of signed. hashes: the hashed shingles of a text. first_*: the
+    smallest (key, unit) of the line's class, which is kept; members: how many lines the class has. Equal lines are one unit
+    from the start. Null keys come after all others. Keys are integers. Both tables are deleted in the end if they were
+    written for this alone.
+    """
     placed = signed.withColumn("place", place_of("k", "unit"))
     units = placed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
     units = materialize(units.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "place", "n", "keys"), "units")
     places = materialize(signed.drop("keys"), "places")
-    discard(signed)
+    if hasattr(signed, "written_at"):
+        discard(signed)
     of_place = units.select("id", "h1", *first_place("place", "of", "at"))
 
     def texts_of(ids: DataFrame) -> DataFrame:
         wanted = materialize(of_place.join(ids, "id"), "wanted")
         wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-        found = lines.join(wanted, lines["k"].eqNullSafe(F.col("of")) & (lines["unit"] == F.col("at")))
-        return found.filter(F.xxhash64("text") == F.col("h1")).select("id", "text").dropDuplicates(["id"])  # keys may repeat
+        named = lines.select("k", "unit", "text", (F.col("h1") if "h1" in lines.columns else F.xxhash64("text")).alias("own"))
+        found = named.join(wanted, named["k"].eqNullSafe(F.col("of")) & (named["unit"] == F.col("at")))
+        return found.filter("own = h1").select("id", "text").dropDuplicates(["id"])  # keys may repeat
 
     roots = components(similarity_links(units.select("id", "n", F.explode("keys").alias("band")), texts_of, hashes, threshold))
     rooted = units.select("id", "h1", "h2", "place", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rooted = materialize(rooted, "rooted")
-    discard(units, lines)
+    discard(units, *[x for x in [lines] if hasattr(x, "written_at")])
     firsts = rooted.groupBy("root").agg(F.min("place").alias("first"), F.sum("n").alias("members"))
     classes = rooted.join(firsts, "root").select("h1", "h2", "first", "members")
     found = places.withColumn("place", place_of("k", "unit")).join(classes, ["h1", "h2"])
-    return found.select(F.col("k").alias(key), "unit", *first_place("first", "first_key", "first_unit"), "members", *(extra or {}), (F.col("place") == F.col("first")).alias("keep"))
+    return found.select(F.col("k").alias(key), "unit", *first_place("first", "first_key", "first_unit"), "members", *extra, (F.col("place") == F.col("first")).alias("keep"))

@@ -8,12 +8,13 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BLANKS, discard, materialize, table
-from .minhash import band_keys, first_place, place_of, tune, unit_classes, word_hashes
+from .common import BLANKS, materialize
+from .common import table as read
+from .minhash import first_place, place_of, tune, unit_classes, word_hashes
 
 WIDTH, THRESHOLD, ROWS, RECALL = 5, 0.8, 3, 0.99
 #: Words of a window, and of a passage that can't be missed if two documents share it.
@@ -24,71 +25,141 @@ PIECE = re.compile(r"[\x20\x09-\x0D]+|[^\x20\x09-\x0D]+")
 MIXERS = np.array([2 * k + 1 for k in np.random.default_rng(5).integers(1 << 62, size=WIDTH).tolist()], np.uint64)
 
 
-def normal_paragraph(line: Column) -> Column:
-    """Lowered, words [^\\x20\\x09-\\x0D]+ between single spaces."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
-
-
-def paragraph_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
-    """(key, paragraph, first_key, first_paragraph, members, words, keep) for every paragraph of docs that has a word.
-
-    Paragraphs are the lines of a text. They are similar if the sets of their word shingles (width; a shorter paragraph is
-    one shingle) have a Jaccard of threshold or more, verified exactly for all that meet in a band; the number of bands is
-    tuned so that pairs at the threshold meet with probability recall. Classes are connected components of whole texts'
-    paragraphs, of members paragraphs; the smallest (key, paragraph) of each is kept. Null and empty texts have no row. A
-    null key comes last and is returned as null. Rows that repeat a key and its paragraph are one, kept or dropped together.
-    Empty tables give empty results; other columns aren't read.
-    """
-    hashes, values = lambda t: word_hashes(t, width), tune(threshold, rows, recall)
-    keys = lambda t: band_keys(hashes(t), values, rows)
-    found = unit_classes(docs, key, text, normal_paragraph, hashes, keys, threshold, {"words": F.size(F.split("text", " ")).cast("long")})
-    return found.withColumnsRenamed({"unit": "paragraph", "first_unit": "first_paragraph"})
-
-
-def split_words(text: str | None) -> list[bytes]:
-    """Words [^\\x20\\x09-\\x0D]+, lowered."""
-    return text.lower().encode("utf-8", "surrogatepass").split() if text else []
-
-
-def window_starts(words: list[bytes], span: int, least: int) -> np.ndarray:
-    """Where the windows of span words begin by which a text is known: of any least - span + 1 neighbours the one whose
-    first shingle has the least hash.
+def mixed(parts: list[np.ndarray], salt: int = 0) -> np.ndarray:
+    """64-bit hashes of rows of numbers, one array for each place."""
+    made = np.full(len(parts[0]), salt, np.uint64)
+    for x, m in zip(parts, MIXERS, strict=False):
+        made = (made ^ x) * m
+        made ^= made >> np.uint64(31)
+    return made
+
+
+def shingles(hashes: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of all runs of width words of each line; a shorter line is one shingle. hashes: those of all words."""
+    ends = np.cumsum(sizes)
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    padded = np.append(hashes, np.zeros(width, np.uint64))
+    at = np.flatnonzero((np.arange(len(hashes)) + width <= ends[line]) | (np.arange(len(hashes)) == (ends - sizes)[line]))
+    parts = [np.where(at + i < ends[line[at]], padded[at + i], np.uint64(0)) for i in range(width)]
+    return line[at], mixed(parts)
+
+
+def signatures(line: np.ndarray, hashes: np.ndarray, n: int, values: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, keys): the band_keys of n lines from their shingles, those of each line up to its end."""
+    by = np.lexsort((hashes, line))
+    line, hashes = line[by], hashes[by]
+    new = np.append(True, (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])) if len(line) else np.zeros(0, bool)
+    line, hashes = line[new], hashes[new]
+    size = np.bincount(line, minlength=n)
+    first = np.cumsum(size) - size
+    rank, of = np.arange(len(line)) - first[line], size[line]
+    ahead = np.flatnonzero((of >= rows) & (rank + rows <= np.minimum(of, values)))
+    around = np.flatnonzero(of <= values)
+    there, m = first[line[around]], of[around]
+    turns = [np.where(i < m, hashes[there + (rank[around] + i) % m], np.uint64(0)) for i in range(rows)]
+    keys = np.concatenate([mixed([hashes[ahead + i] for i in range(rows)], 1), mixed(turns, 2)])
+    owner = np.concatenate([line[ahead], line[around]])
+    return np.cumsum(np.bincount(owner, minlength=n)), keys[np.argsort(owner, kind="stable")].view(np.int64)
+
+
+def window_starts(hashes: np.ndarray, sizes: np.ndarray, span: int, least: int) -> np.ndarray:
+    """Where in all words the windows of span words begin by which texts of these sizes are known: of any least - span + 1
+    neighbours the one whose first shingle has the least hash.
 
     So two texts that share least words share a window: among those wholly inside the passage both take the same.
     """
-    n = len(words) - span + 1
+    n, wide, width = len(hashes) - span + 1, least - span + 1, len(MIXERS)
     if n <= 0:
         return np.zeros(0, np.int64)
-    hashes = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-    mixed = sum(hashes[i : i + n] * m for i, m in enumerate(MIXERS))
-    mixed = (mixed ^ (mixed >> np.uint64(31))) * MIXERS[0]
-    size, step, found = min(n, least - span + 1), 1 << 16, []
-    for at in range(0, n - size + 1, step):
-        part = mixed[at : at + step + size - 1]
-        found.append(at + np.arange(len(part) - size + 1) + np.lib.stride_tricks.sliding_window_view(part, size).argmin(axis=1))
-    return np.unique(np.concatenate(found))
-
-
-def windows(docs: DataFrame, key: str, text: str, span: int, least: int) -> DataFrame:
-    """(k, at, h1, h2): the windows of every text, the words before each, and 128 bits that stand for its words."""
+    value = mixed([hashes[i : i + n] for i in range(width)])
+    ends = np.cumsum(sizes)
+    last = ends - span  # of each text the last start, below its first if it has none
+    found, step = [], 1 << 16
+    for at in range(0, n - wide + 1, step):
+        part = value[at : at + step + wide - 1]
+        p = at + np.arange(len(part) - wide + 1)
+        whole = p + wide - 1 <= last[np.searchsorted(ends, p, side="right")]
+        found.append((p + np.lib.stride_tricks.sliding_window_view(part, wide).argmin(axis=1))[whole])
+    for begin, end in zip((ends - sizes).tolist(), last.tolist(), strict=True):
+        if 0 <= end - begin < wide - 1:
+            found.append([begin + int(value[begin : end + 1].argmin())])
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def scanned(docs: DataFrame, key: str, text: str, width: int, values: int, rows: int, span: int, least: int) -> DataFrame:
+    """(kind, k, unit, h1, h2, words, keys, text): in one pass every line that has a word (kind 0; unit: the line's number)
+    and every window (kind 1; unit: the words before it). h1 and h2 stand for the words, single-spaced and lowered."""
 
     def batches(it):
         from xxhash import xxh3_128_digest
 
+        def table(kind, keys, units, digests, words, lists, texts):
+            both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(units), kind, np.int32)), pa.array(keys, pa.int64()), pa.array(units, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), words, lists, texts],
+                names=["kind", "k", "unit", "h1", "h2", "words", "keys", "text"],
+            )
+
         for b in it:
             for start in range(0, b.num_rows, 256):
                 part = b.slice(start, 256)
-                keys, at, hashes = [], [], []
-                for k, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    words = split_words(t.as_py())
-                    starts = window_starts(words, span, least).tolist()
-                    keys += [k] * len(starts)
-                    at += starts
-                    hashes += [xxh3_128_digest(b" ".join(words[i : i + span])) for i in starts]
-                both = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(at, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["k", "at", "h1", "h2"])
+                all_, sizes, doc_sizes, keys, units, texts = [], [], [], [], [], []
+                docs_ = part.column(0).to_pylist()
+                for k, t in zip(docs_, part.column(1), strict=True):
+                    before = len(all_)
+                    for i, line in enumerate((t.as_py() or "").lower().split("\n")):
+                        words = line.encode("utf-8", "replace").split()
+                        if words:
+                            all_ += words
+                            sizes.append(len(words))
+                            keys.append(k)
+                            units.append(i)
+                            texts.append(b" ".join(words))
+                    doc_sizes.append(len(all_) - before)
+                hashes, sizes = np.fromiter(map(zlib.crc32, all_), np.uint64, len(all_)), np.array(sizes, np.int64)
+                ends, lists = signatures(*shingles(hashes, sizes, width), len(sizes), values, rows)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(lists))
+                yield table(0, keys, units, [xxh3_128_digest(t) for t in texts], pa.array(sizes), lists, pa.array(texts, pa.binary()).cast(pa.string()))
+                doc_sizes = np.array(doc_sizes, np.int64)
+                at = window_starts(hashes, doc_sizes, span, least)
+                doc = np.searchsorted(np.cumsum(doc_sizes), at, side="right")
+                digests = [xxh3_128_digest(b" ".join(all_[i : i + span])) for i in at.tolist()]
+                none = pa.nulls(len(at), pa.list_(pa.int64()))
+                yield table(1, [docs_[i] for i in doc.tolist()], at - (np.cumsum(doc_sizes) - doc_sizes)[doc], digests, pa.array(np.full(len(at), span)), none, pa.nulls(len(at), pa.string()))
+
+    made = docs.select(F.col(key).cast("long").alias("k"), F.col(text)).mapInArrow(batches, "kind int, k long, unit long, h1 long, h2 long, words long, keys array<long>, text string")
+    return materialize(made, "scanned", "zstd")
+
+
+def _scan(docs: DataFrame, key: str, text: str, width: int = WIDTH, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL, span: int = SPAN, least: int = LEAST) -> DataFrame:
+    return scanned(docs, key, text, width, tune(threshold, rows, recall), rows, span, least)
+
+
+def _classes(table: DataFrame, key: str, width: int = WIDTH, threshold: float = THRESHOLD, **_) -> DataFrame:
+    lines = table.filter("kind = 0").withColumn("unit", F.col("unit").cast("int"))
+    found = unit_classes(lines.select("k", "unit", "text", "h1"), lines.drop("text", "kind"), key, lambda t: word_hashes(t, width), threshold, ("words",))
+    return found.withColumnsRenamed({"unit": "paragraph", "first_unit": "first_paragraph"})
+
+
+def paragraph_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """(key, paragraph, first_key, first_paragraph, members, words, keep) for every paragraph of docs that has a word.
+
+    how: width, threshold, rows, recall. Paragraphs are the lines of a text, lowered and single-spaced. They are similar if
+    the sets of their word shingles (width; a shorter paragraph is one shingle) have a Jaccard of threshold or more,
+    verified exactly (by 64-bit hashes) for pairs that meet in a band; signatures are tuned so that pairs at the threshold
+    meet with probability recall. Classes are connected components of whole texts' paragraphs, of members paragraphs; the
+    smallest (key, paragraph) of each is kept. Null and empty texts have no row. A null key comes last and is returned as
+    null. Rows that repeat a key and its paragraph are one, kept or dropped together. Empty tables give empty results;
+    other columns aren't read.
+    """
+    return _classes(_scan(docs, key, text, **how), key, **how)
+
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text)).mapInArrow(batches, "k long, at long, h1 long, h2 long")
+def _windows(table: DataFrame, key: str) -> DataFrame:
+    made = table.filter("kind = 1").select("k", F.col("unit").alias("at"), "h1", "h2", place_of("k", "unit").alias("place"))
+    seen = made.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first < last").drop("last")
+    found = made.join(seen, ["h1", "h2"]).select("k", "at", *first_place("first", "first_key", "first_at"), (F.col("place") == F.col("first")).alias("keep")).drop("first_at").distinct()
+    return materialize(found, "repeats").withColumnRenamed("k", key)
 
 
 def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, least: int = LEAST) -> DataFrame:
@@ -100,12 +171,7 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     as one text, so a passage that only they share isn't repeated. An empty table gives an empty result. Hot windows are
     added up before they are shuffled.
     """
-    made = materialize(windows(docs, key, text, span, least).withColumn("place", place_of("k", "at")), "windows")
-    seen = made.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first < last").drop("last")
-    found = made.join(seen, ["h1", "h2"]).select("k", "at", *first_place("first", "first_key", "first_at"), (F.col("place") == F.col("first")).alias("keep")).drop("first_at").distinct()
-    found = materialize(found, "repeats")
-    discard(made)
-    return found.withColumnRenamed("k", key)
+    return _windows(_scan(docs, key, text, span=span, least=least), key)
 
 
 def _covered(spans: DataFrame, span: int, name: str) -> DataFrame:
@@ -125,8 +191,9 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int
     Texts without words have zeros. Rows with one key share its figures, those with a null key theirs. See paragraph_classes
     and repeated_windows.
     """
-    found = repeated_windows(docs, key, text, span, least).withColumnRenamed(key, "k")
-    classes = paragraph_classes(docs, key, text, **how).withColumnRenamed(key, "k")
+    table = _scan(docs, key, text, span=span, least=least, **how)
+    found = _windows(table, key).withColumnRenamed(key, "k")
+    classes = _classes(table, key, **how).withColumnRenamed(key, "k")
     again = F.col("members") > 1
     long_ = F.coalesce(F.max(again & (F.col("words") >= span)), F.lit(False)).alias("long")
     in_lines = classes.groupBy("k").agg(F.count(F.lit(1)).alias("n_paragraphs"), F.count_if(again).alias("n_repeated"), F.count_if(~F.col("keep")).alias("n_removed"), long_)
@@ -149,8 +216,9 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", span:
     Needs unique keys; rows with a null key share what goes. Words stay apart by what stood before them; texts of which
     nothing goes are untouched. The columns are those of docs.
     """
-    spans = repeated_windows(docs, key, text, span, least).filter(~F.col("keep")).groupBy(key).agg(F.collect_set("at").alias("__spans")).withColumnRenamed(key, "__k1")
-    lines = paragraph_classes(docs, key, text, **how).filter(~F.col("keep")).groupBy(key).agg(F.collect_set(F.col("paragraph").cast("long")).alias("__lines")).withColumnRenamed(key, "__k2")
+    table = _scan(docs, key, text, span=span, least=least, **how)
+    spans = _windows(table, key).filter(~F.col("keep")).groupBy(key).agg(F.collect_set("at").alias("__spans")).withColumnRenamed(key, "__k1")
+    lines = _classes(table, key, **how).filter(~F.col("keep")).groupBy(key).agg(F.collect_set(F.col("paragraph").cast("long")).alias("__lines")).withColumnRenamed(key, "__k2")
     joined = docs.join(spans, docs[key].cast("long").eqNullSafe(F.col("__k1")), "left").join(lines, docs[key].cast("long").eqNullSafe(F.col("__k2")), "left")
 
     def cuts(texts: pd.Series, at: pd.Series, gone: pd.Series) -> pd.Series:
@@ -183,7 +251,7 @@ def cut_text(text: str | None, spans, lines, span: int) -> str | None:
 
 
 def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(table(spark, sf_dir, "documents"))
+    return repeats(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op5_paragraph_dedup": op5_paragraph_dedup}

@@ -264,16 +264,42 @@ def test_passages_inside_lines(spark):
 
 
 def test_windows_of_shared_passages():
-    """Any shared run of LEAST words has a window that both texts take."""
+    """Any shared run of LEAST words has a window that both texts take; windows never cross texts."""
     rnd = random.Random(3)
-    word = lambda: rnd.choice("abcdefgh").encode() * rnd.randrange(1, 4)
-    for _ in range(300):
-        run = [word() for _ in range(50)]
-        taken = []
+    word = lambda: rnd.randrange(1 << 20)
+    for _ in range(200):
+        run, texts, starts = [word() for _ in range(50)], [], []
         for _ in range(2):
-            words = [word() for _ in range(rnd.randrange(0, 90))]
-            at = len(words)
-            words += run + [word() for _ in range(rnd.randrange(0, 90))]
-            taken.append({s - at for s in paragraph_dedup.window_starts(words, 20, 50).tolist() if 0 <= s - at <= 30})
+            before = [word() for _ in range(rnd.randrange(0, 90))]
+            texts.append(before + run + [word() for _ in range(rnd.randrange(0, 90))])
+            starts.append(len(before))
+        texts.insert(1, [word() for _ in range(rnd.randrange(0, 60))])
+        sizes = np.array([len(t) for t in texts])
+        got = paragraph_dedup.window_starts(np.array(sum(texts, []), np.uint64), sizes, 20, 50).tolist()
+        begins = np.cumsum(sizes) - sizes
+        assert all(any(b <= g and g + 20 <= b + n for b, n in zip(begins, sizes, strict=True)) for g in got)
+        assert all((len(t) < 20) == (not any(b <= g < b + len(t) for g in got)) for t, b in zip(texts, begins, strict=True))
+        taken = [{g - b - s for g in got if 0 <= g - b - s <= 30} for b, s in ((begins[0], starts[0]), (begins[2], starts[1]))]
         assert taken[0] & taken[1]
-    assert paragraph_dedup.window_starts([b"a"] * 19, 20, 50).tolist() == []
+    assert paragraph_dedup.window_starts(np.zeros(19, np.uint64), np.array([19]), 20, 50).tolist() == []
+
+
+def test_signatures_by_hand():
+    rnd = random.Random(4)
+    lines = [[rnd.randrange(30) for _ in range(rnd.randrange(1, 40))] for _ in range(80)] + [[7] * 60, [7] * 9]
+    flat = np.array(sum(lines, []), np.uint64)
+    line, hashes = paragraph_dedup.shingles(flat, np.array([len(x) for x in lines]), 5)
+    ends, keys = paragraph_dedup.signatures(line, hashes, len(lines), 15, 3)
+    mix = lambda parts, salt: int(paragraph_dedup.mixed([np.array([p], np.uint64) for p in parts], salt).view(np.int64)[0])
+    at = 0
+    for i, words in enumerate(lines):
+        grams = {tuple(words[j : j + 5]) for j in range(max(1, len(words) - 4))}
+        assert len(set(hashes[line == i].tolist())) == len(grams)
+        v = sorted(set(hashes[line == i].tolist()))
+        m = min(len(v), 15)
+        want = [mix(v[j : j + 3], 1) for j in range(m - 2)]
+        if len(v) <= 15:
+            want += [mix([v[(j + t) % m] if t < m else 0 for t in range(3)], 2) for j in range(m)]
+        assert sorted(keys[at : ends[i]].tolist()) == sorted(want)
+        at = ends[i]
+    assert at == len(keys)
