@@ -47,11 +47,13 @@ def quote_in(quote: Column, texts: Column) -> Column:
 def cascade(found: DataFrame, review: list[str], order: str = "ord", least: float = LEAST_CONFIDENCE, most: int = MOST_POSTED) -> DataFrame:
     """found with combined, stage, score, rank and posted.
 
-    found needs: review columns, order, fingerprint, quote_ok, loc_ok, in_memory, proof, severity, confidence, is_real,
+    found needs: review columns, order, fingerprint, quote_ok, loc_ok (without it places aren't checked), in_memory, proof, severity, confidence, is_real,
     is_actionable, verifier (null verdicts: not real). The first failing check names the stage: quotation, place,
     fingerprint seen before (in memory, or by an earlier row that passed), confidence below least. A proof stands in for
     the verifier. Rows that pass are ranked by score, then order; those beyond most keep a null stage but aren't posted.
     """
+    unplaced = "loc_ok" not in found.columns
+    found = found.withColumn("loc_ok", F.lit(True)) if unplaced else found
     proven = F.coalesce(F.col("proof"), F.lit("")) != ""
     verified = combined_confidence(F.col("confidence"), F.coalesce("is_real", F.lit(False)), F.coalesce("is_actionable", F.lit(False)), F.coalesce("verifier", F.lit(0.0)))
     sure = F.when(proven, clamp(F.col("confidence"))).otherwise(verified)
@@ -68,7 +70,7 @@ def cascade(found: DataFrame, review: list[str], order: str = "ord", least: floa
     rows = rows.withColumn("combined", F.when(reached, F.col("__sure"))).withColumn("score", score(F.col("severity"), F.col("combined")))
     rank = F.row_number().over(Window.partitionBy(*review, F.col("stage").isNull()).orderBy(F.desc("score"), F.asc(order)))
     rows = rows.withColumn("rank", F.when(F.col("stage").isNull(), rank)).withColumn("posted", F.coalesce(F.col("rank") <= most, F.lit(False)))
-    return rows.drop("__sure", "__ok", "__first")
+    return rows.drop("__sure", "__ok", "__first", *["loc_ok"] * unplaced)
 
 
 def breakdown(verdicts: DataFrame, review: list[str], order: str = "ord") -> DataFrame:

@@ -76,11 +76,23 @@ def conditional_counts(rows: DataFrame, by: list[str], **conditions: Column) ->
     return rows.groupBy(*by).agg(*[F.count_if(c).alias(name) for name, c in conditions.items()])
 
 
+def conform(rows: DataFrame, columns: dict[str, tuple[str, Column | None]]) -> DataFrame:
+    """rows in the columns (type, default) of a newer table: absent ones are added and nulls filled with the default."""
+
+    def made(name, kind, default):
+        own = F.col(name).cast(kind) if name in rows.columns else F.lit(None).cast(kind)
+        return (own if default is None else F.coalesce(own, default.cast(kind))).alias(name)
+
+    return rows.select(*[made(name, *how) for name, how in columns.items()])
+
+
 def stats(reviews: DataFrame, findings: DataFrame, feedback: DataFrame, repo: str, days: int, now: Column) -> DataFrame:
     """One row: what stored reviews of a repository in the last days and the feedback on them add up to.
 
-    Reactions are counted by finding, not by reaction. Categories without a posted finding are left out.
+    Reactions are counted by finding, not by reaction. Categories without a posted finding are left out. days: 1 to 3650.
     """
+    if not 1 <= days <= 3650:
+        raise ValueError("days must be between 1 and 3650")
     recent = reviews.filter((F.col("repo") == repo) & in_window(F.col("started_at"), now, days))
     total = recent.agg(F.struct(F.count(F.lit(1)).alias("total"), F.count_if("review_incomplete").alias("incomplete")).alias("reviews"))
     own = findings.join(recent.select(F.col("id").alias("review_id")), "review_id", "left_semi")

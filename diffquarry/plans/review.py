@@ -21,8 +21,15 @@ def source_lines(sources: DataFrame) -> DataFrame:
     return sources.select("path", F.posexplode(split_lines(F.col("text"))).alias("n", "text")).select("path", (F.col("n") + 1).alias("line"), "text")
 
 
-def call_index(lines: DataFrame) -> DataFrame:
-    """(name, path, line, text) of every call in lines that aren't definitions of that name; names of two letters at least."""
+def call_index(lines: DataFrame, per_file: int | None = None) -> DataFrame:
+    """(name, path, line, text) of every call in lines that aren't definitions of that name; names of two letters at least.
+
+    per_file: lines of a file that a name is looked up in at most, definitions among them, as a search tool limits itself.
+    """
+    if per_file is not None:
+        named = lines.select("path", "line", "text", F.explode(called_names(F.col("text"))).alias("name")).filter(F.length("name") >= 2)
+        first = named.withColumn("__n", F.row_number().over(Window.partitionBy("name", "path").orderBy("line"))).filter(F.col("__n") <= per_file)
+        return first.filter(~F.array_contains(defined_names(F.col("text")), F.col("name"))).select("name", "path", "line", F.trim("text").alias("text"))
     found = lines.select("path", "line", F.trim("text").alias("text"), F.explode(F.array_except(called_names(F.col("text")), defined_names(F.col("text")))).alias("name"))
     return found.filter(F.length("name") >= 2)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,6 +45,27 @@ def upsert_stream(rows: DataFrame, target: str, keys: list[str], newest: list[st
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def deliver(rows: DataFrame, send: Callable[[list[dict]], None], checkpoint: str, failures: str) -> StreamingQuery:
+    """Hand each batch of outcomes to send, in parts of a partition; what it raises is written to failures and the stream
+    goes on, as a report that isn't delivered must not stop reviews."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        columns = batch.columns
+
+        def parts(it):
+            for pdf in it:
+                try:
+                    send(pdf.to_dict("records"))
+                    said = None
+                except Exception as e:
+                    said = f"{type(e).__name__}: {e}"[:240]
+                yield pd.DataFrame({"batch": [number], "rows": [len(pdf)], "failure": [said]})
+
+        batch.select(*columns).mapInPandas(parts, "batch long, rows long, failure string").write.mode("overwrite").parquet(f"{failures}/b{number}")
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def _exists(spark, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
