@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LOWER, UPPER, materialize, table
+from .common import LOWER, UPPER, discard, materialize, table
 
 #: ASCII but for digits and letters: what separates words.
 SEPARATORS = "".join(chr(i) for i in range(128) if not chr(i).isalnum())
@@ -89,10 +89,13 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     named = named.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item")).alias("items"))
     found = materialize(spans.join(named, ["k1", "k2"]), "found")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return body.join(found, ["k1", "k2"], "left").select(
+    made = body.join(found, ["k1", "k2"], "left").select(
         F.col("key").alias(key), "k1", "k2", "n_words", n_hit.alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (n_hit >= F.col("n_words") * F.lit(part))).alias("contaminated"),
     )
+    made = materialize(made, "contamination")
+    discard(body, windows, needed, anchors, hits, found)
+    return made
 
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, materialize, table
+from .common import LOWER, UPPER, discard, materialize, table
 from .components import components
 
 #: A-Z to a-z on UTF-8 bytes.
@@ -129,7 +129,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     rooted = materialize(distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component"))
     named = rooted.join(least, "root").select("fp", "component")
-    return prints.join(named, "fp").select(F.col("k").alias(key), "fp", "component")
+    found = materialize(prints.join(named, "fp").select(F.col("k").alias(key), "fp", "component"), "components")
+    discard(prints, rooted)
+    return found
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 3) -> DataFrame:
