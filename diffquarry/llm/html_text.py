@@ -6,7 +6,6 @@ import html
 import math
 import re
 from collections import deque
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +18,13 @@ ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^
 SPACE = re.compile(r"\s+")
 NAME, WORDS = re.compile(r"[a-z]+"), re.compile(r"\S+")
 #: Hidden parts aren't silent: they are weighed like others, against this.
-HIDDEN, HIDDEN_COST = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden"), -2.0
+HIDDEN, HIDDEN_COST = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden"), -1.0
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page: code, fields of forms, and what stands in for media that can't be shown.
 SILENT = frozenset("script style noscript template title textarea select option iframe object audio video canvas head datalist".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
+RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br button cite code data del dfn em font i img ins kbd label mark math q rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr "
     "mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot munder mover munderover mstyle mpadded semantics annotation".split()
@@ -173,7 +173,7 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
                 links += tag == "a"
                 silent += tag in SILENT
                 if tag in RAW:
-                    end = _end_of(tag).search(page, at)
+                    end = RAW_END[tag].search(page, at)
                     at = end.start() if end else len(page)
         if tag not in INLINE:
             block = None
@@ -182,11 +182,6 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
     return made, elements
 
 
-@cache
-def _end_of(tag: str) -> re.Pattern:
-    return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
-
-
 def weigh(found: list[Block], elements: list[Element]) -> None:
     """Sets for each element what it and those around it say about a block in it (below).
 

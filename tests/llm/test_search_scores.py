@@ -67,7 +67,7 @@ def test_estimates_from_packed_bits():
 def test_recall_on_many_vectors(spark):
     rnd = np.random.default_rng(8)
     x = rnd.standard_normal((50_000, 64)).astype(np.float32)
-    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}), "vec_id long, embedding array<float>")
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
     got = {(r.query_id, r.vec_id) for r in rabitq.nearest(df, F.col("vec_id") % 500 == 0).collect()}
     unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
     want = set()
