@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Bare calls, calls on the own object, and words that open a definition.
-BARE_CALL = r"(?<![\w.])([A-Za-z_]\w*)\s*\("
+# Calls on the own object, and words that open a definition.
 OWN_CALL = r"\b(?:self|cls|this)\.([A-Za-z_]\w*)\s*\("
 DEFINING = ("def", "function", "func", "fn")
 # Names that are no callees.
@@ -25,10 +24,13 @@ def is_comment(line: Column) -> Column:
 
 def callee_names(lines: Column, own: Column) -> Column:
     """Distinct names called on an array of lines in order of first appearance: per line bare calls, then own ones."""
-    undefined = rf"(?<!\b(?:{'|'.join(DEFINING)})\s{{1,8}})"
+    definer = "|".join(DEFINING)
+    #: One pass: a defining word is taken along with the name after it, so that the match can be told from a call.
+    either = rf"(?:(?<!\w)(?:{definer})\s{{1,8}}|(?<![\w.]))[A-Za-z_]\w*+\s*+\("
 
     def on_line(line):
-        bare = F.regexp_extract_all(line, F.lit(undefined + BARE_CALL), F.lit(1))
+        calls = F.filter(F.regexp_extract_all(line, F.lit(either), F.lit(0)), lambda x: ~x.rlike(rf"^(?:{definer})\s+\w"))
+        bare = F.transform(calls, lambda x: F.regexp_extract(x, r"^\w+", 0))
         return F.concat(bare, F.regexp_extract_all(line, F.lit(OWN_CALL), F.lit(1)))
 
     found = F.flatten(F.transform(F.filter(lines, lambda x: ~is_comment(x)), on_line))

@@ -67,6 +67,12 @@ def redact(text: Column) -> Column:
     return F.regexp_replace(text, KEY_LIKE, REDACTED)
 
 
+def redactions(text: Column) -> Column:
+    """(hits, text): how many keys redact() replaces, and its result, from one pass."""
+    pieces = F.split(text, KEY_LIKE, -1)
+    return F.get(F.transform(F.array(pieces), lambda p: F.struct((F.size(p) - 1).alias("hits"), F.array_join(p, REDACTED).alias("text"))), F.lit(0))
+
+
 def has_setting_key(text: Column) -> Column:
     return text.rlike(SETTING_KEY)
 

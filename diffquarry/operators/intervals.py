@@ -46,6 +46,29 @@ def nearest_paths(hits: DataFrame, by: list[str], origin: str, path: str, order:
     return hits.withColumn("depth", shared_depth(F.col(origin), F.col(path))).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
 
 
+def nearest_of_all(asked: DataFrame, rows: DataFrame, on: list[str], path: str, key: str, most: int) -> DataFrame:
+    """(origin, key, path, depth, place): for each asked row (origin, from_path, on) the most rows of its own key columns on
+    whose paths share the most leading directories with from_path; ties by path, then key. A row isn't its own neighbour.
+
+    Rows are posted under each prefix of their directories, of which only the first few by path can ever be wanted: most
+    of one subdirectory, and twice as many in all, as an origin leaves out its own subdirectory there. So no origin
+    meets all rows of its key.
+    """
+
+    def posted(df, name, kept):
+        dirs = F.slice(F.split(name, "/"), 1, F.size(F.split(name, "/")) - 1)
+        steps = F.transform(F.sequence(F.lit(0), F.size(dirs)), lambda j: F.struct(j.alias("depth"), F.array_join(F.slice(dirs, F.lit(1), j), "/").alias("prefix"), F.get(dirs, j).alias("child")))
+        return df.select(*on, *kept, F.explode(steps).alias("s")).select(*on, *kept, "s.*")
+
+    lists = posted(rows, path, [key, path])
+    for by, n in (([*on, "depth", "prefix", "child"], most + 1), ([*on, "depth", "prefix"], 2 * most + 2)):
+        lists = lists.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(path, key))).filter(F.col("__n") <= n).drop("__n")
+    wanted = posted(asked, "from_path", ["origin"]).withColumnRenamed("child", "own")
+    met = wanted.join(lists, [*on, "depth", "prefix"]).filter((F.col("origin") != F.col(key)) & (F.col("own").isNull() | ~F.col("own").eqNullSafe(F.col("child"))))
+    w = Window.partitionBy("origin").orderBy(F.desc("depth"), path, key)
+    return met.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("origin", key, path, "depth", "place")
+
+
 def unique_only(rows: DataFrame, name: str) -> DataFrame:
     """Rows whose name occurs once."""
     return rows.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(name))).filter("__n = 1").drop("__n")

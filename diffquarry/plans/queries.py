@@ -63,7 +63,8 @@ SELECT doc_id, CAST(len(regexp_extract_all(text, '{_KEY}')) AS INTEGER) AS hits,
 """)
 def q03_redaction(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(text.KEY_LIKE), F.lit(0))).alias("hits"), F.sha1(text.redact(F.col("text")).cast("binary")).alias("redacted"))
+    found = docs.select("doc_id", text.redactions(F.col("text")).alias("r"))
+    return found.select("doc_id", "r.hits", F.sha1(F.col("r.text").cast("binary")).alias("redacted"))
 
 
 @query(f"""
@@ -253,8 +254,7 @@ def q18_nearest_paths(spark, sf_dir):
     path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
     pages = _t(spark, sf_dir, "pages").select("page_id", path.alias("path"), F.element_at(F.split(path, "/"), -2).alias("lang"))
     asked = pages.filter("page_id % 20 = 0").select(F.col("page_id").alias("origin"), F.col("path").alias("from_path"), "lang")
-    met = asked.join(pages, "lang").filter("origin <> page_id")
-    return intervals.nearest_paths(met, ["origin"], "from_path", "path", ["page_id"], 5).select("origin", "page_id", "depth", "place")
+    return intervals.nearest_of_all(asked, pages, ["lang"], "path", "page_id", 5).select("origin", "page_id", "depth", "place")
 
 
 @query(r"""

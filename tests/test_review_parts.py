@@ -151,3 +151,31 @@ def test_signature_starts_at_the_first_parenthesis(spark):
 def test_mentions_keep_backslashes(spark):
     rows = spark.createDataFrame([("see a/b.py and 1.5",), ("see c/b.py",), (r"see a\b.py",), ("see é/x.py",)], "t string")
     assert [r[0] for r in rows.select(text.mentions_only(F.col("t"), F.array(F.lit("a/b.py")))).collect()] == [True, True, False, False]
+
+
+def test_nearest_of_all_against_all_pairs(spark):
+    import random
+
+    from diffquarry.operators import intervals
+
+    rnd = random.Random(2)
+    paths = ["/".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 6))) for _ in range(300)]
+    rows = [(i, p, rnd.choice("xy")) for i, p in enumerate(paths)] + [(900, "top", "x"), (901, "", "x")]
+    df = spark.createDataFrame(rows, "id long, path string, k string")
+    asked = df.filter("id % 5 = 0").select(F.col("id").alias("origin"), F.col("path").alias("from_path"), "k")
+    got = sorted((r.origin, r.place, r.id, r.depth) for r in intervals.nearest_of_all(asked, df, ["k"], "path", "id", 3).collect())
+
+    def shared(a, b):
+        n = 0
+        for x, y in zip(a.split("/")[:-1], b.split("/")[:-1]):
+            if x != y:
+                break
+            n += 1
+        return n
+
+    want = []
+    for i, p, k in rows:
+        if i % 5 == 0:
+            best = sorted((-shared(p, q), q, j) for j, q, m in rows if m == k and j != i)[:3]
+            want += [(i, n, j, -d) for n, (d, _, j) in enumerate(best, 1)]
+    assert got == sorted(want)
