@@ -85,14 +85,18 @@ def newest_version(spark, target: str) -> DataFrame:
 RESOLVED = "key string, fingerprint string, kind string, count int"
 
 
-def feedback_stream(events: DataFrame) -> DataFrame:
+def feedback_stream(events: DataFrame, keep_ms: int | None = None) -> DataFrame:
     """(key, fingerprint, kind, count) of feedback whose finding was seen before or comes later.
 
     events: (key, fingerprint, kind, count); kind 'finding' says that a finding was posted. Feedback that comes first
-    waits in the state of its key and fingerprint; a later count replaces an earlier one.
+    waits in the state of its key and fingerprint; a later count replaces an earlier one. keep_ms: for how long without news
+    a state is kept; without it for ever.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen, waiting = state.get if state.exists else (False, "")
         held = dict(x.split("=") for x in waiting.split(";") if x)
         out = []
@@ -105,7 +109,9 @@ def feedback_stream(events: DataFrame) -> DataFrame:
         if seen:
             out, held = [(key[0], key[1], k, int(n)) for k, n in sorted(held.items())], {}
         state.update((seen, ";".join(f"{k}={n}" for k, n in sorted(held.items()))))
+        if keep_ms is not None:
+            state.setTimeoutDuration(keep_ms)
         yield pd.DataFrame(out, columns=["key", "fingerprint", "kind", "count"])
 
     named = events.withColumnRenamed("count", "count_")
-    return named.groupBy("key", "fingerprint").applyInPandasWithState(step, RESOLVED, "seen boolean, waiting string", "update", GroupStateTimeout.NoTimeout)
+    return named.groupBy("key", "fingerprint").applyInPandasWithState(step, RESOLVED, "seen boolean, waiting string", "update", GroupStateTimeout.NoTimeout if keep_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

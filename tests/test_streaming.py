@@ -1,15 +1,18 @@
+import pytest
+
 from diffquarry.streaming import reviews
 
 
-def test_late_feedback_waits(spark, tmp_path):
+@pytest.mark.parametrize("keep_ms", [None, 3_600_000])
+def test_late_feedback_waits(spark, tmp_path, keep_ms):
     schema = "key string, fingerprint string, kind string, count int"
     for i, rows in enumerate(([("k", "f", "reaction", 1), ("k", "g", "reaction", 4)], [("k", "f", "finding", 0)], [("k", "f", "reaction", 3)])):
         spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / "in" / f"{i}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).json(str(tmp_path / "in"))
-    q = reviews.feedback_stream(stream).writeStream.format("memory").queryName("late").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).start()
+    q = reviews.feedback_stream(stream, keep_ms).writeStream.format("memory").queryName(f"late{keep_ms}").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
     q.stop()
-    got = [tuple(r) for r in spark.sql("select fingerprint, kind, count from late").collect()]
+    got = [tuple(r) for r in spark.sql(f"select fingerprint, kind, count from late{keep_ms}").collect()]
     assert {r[0] for r in got} == {"f"} and got[-1][2] in (1, 3)
 
 
