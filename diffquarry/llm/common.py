@@ -38,23 +38,24 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, compression: str = "snappy", by: str | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors. by: a column that parts it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/diffquarry/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    writer = df.write.option("compression", compression)
+    (writer.partitionBy(by) if by else writer).parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made.written_at = path
     return made
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete what materialize() wrote, once nothing that is still to run reads it.
+def discard(*tables: DataFrame, part: str = "") -> None:
+    """Delete what materialize() wrote, or a part of it, once nothing that is still to run reads it.
 
     The collection of garbage lets Spark remove the shuffle files of jobs that have ended, too.
     """
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at + part)
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
         gc.collect()
         df.sparkSession._jvm.System.gc()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BLANKS, materialize
+from .common import BLANKS, discard, materialize
 from .common import table as read
 from .minhash import first_place, place_of, tune, unit_classes, word_hashes
 
@@ -128,7 +128,7 @@ def scanned(docs: DataFrame, key: str, text: str, width: int, values: int, rows:
                 yield table(1, [docs_[i] for i in doc.tolist()], at - (np.cumsum(doc_sizes) - doc_sizes)[doc], digests, pa.array(np.full(len(at), span)), none, pa.nulls(len(at), pa.string()))
 
     made = docs.select(F.col(key).cast("long").alias("k"), F.col(text)).mapInArrow(batches, "kind int, k long, unit long, h1 long, h2 long, words long, keys array<long>, text string")
-    return materialize(made, "scanned", "zstd")
+    return materialize(made, "scanned", "zstd", "kind")
 
 
 def _scan(docs: DataFrame, key: str, text: str, width: int = WIDTH, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL, span: int = SPAN, least: int = LEAST) -> DataFrame:
@@ -156,10 +156,13 @@ def paragraph_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def _windows(table: DataFrame, key: str) -> DataFrame:
+    """See repeated_windows; the windows of table are gone afterwards."""
     made = table.filter("kind = 1").select("k", F.col("unit").alias("at"), "h1", "h2", place_of("k", "unit").alias("place"))
     seen = made.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first < last").drop("last")
     found = made.join(seen, ["h1", "h2"]).select("k", "at", *first_place("first", "first_key", "first_at"), (F.col("place") == F.col("first")).alias("keep")).drop("first_at").distinct()
-    return materialize(found, "repeats").withColumnRenamed("k", key)
+    found = materialize(found, "repeats").withColumnRenamed("k", key)
+    discard(table, part="/kind=1")
+    return found
 
 
 def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, least: int = LEAST) -> DataFrame:

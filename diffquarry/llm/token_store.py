@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, table
 
+#: White space at which a text can't be cut without changing its pieces: two in a row, and all but spaces and line ends.
+ODD_SPACE = ["  ", " \n", "\n ", "\n\n", *(chr(c) for c in range(0x10000) if chr(c).isspace() and chr(c) not in " \n")]
 #: A word of plain Latin letters, then marks: two pieces for the tokenizer's own pattern.
 WORD_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ſ]+)([!-&(-/:-@\[-`{-~]+)")
 #: Pieces that a worker remembers.
-REMEMBERED = 1_500_000
+REMEMBERED = 900_000
 
 
 class Pieces(dict):
@@ -48,7 +50,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.odd = [*ODD_SPACE, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content)]
         self.first = Pieces(self.tokenizer, "", None)
         self.later = Pieces(self.tokenizer, " ", self.first)
         self.line_end = self.first["\n"]
@@ -59,13 +61,13 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        lines = [line.split(" ") for line in text.split("\n")]
-        if any("" in x for x in lines) or sum(map(len, lines)) != len(text.split()) or any(a in text for a in self.added):
+        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in self.odd):
             return self.whole(text)
         made, first, later = [], self.first, self.later.__getitem__
-        for line in lines:
-            made.append(first[line[0]])
-            made.extend(map(later, line[1:]))
+        for line in text.split("\n"):
+            head, *rest = line.split(" ")
+            made.append(first[head])
+            made.extend(map(later, rest))
             made.append(self.line_end)
         made.pop()
         return b"".join(made)
