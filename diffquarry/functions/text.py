@@ -145,8 +145,8 @@ MARKER, FINDING_MARKER = "review-fingerprints", "review-finding"
 
 
 def encode_marker(fingerprints: Column) -> Column:
-    """Sorted fingerprints in an HTML comment; '' without any."""
-    return F.when(F.size(fingerprints) > 0, F.concat(F.lit(f"<!-- {MARKER} "), F.array_join(F.array_sort(fingerprints), " "), F.lit(" -->"))).otherwise(F.lit(""))
+    """Sorted fingerprints, each once, in an HTML comment; '' without any."""
+    return F.when(F.size(fingerprints) > 0, F.concat(F.lit(f"<!-- {MARKER} "), F.array_join(F.array_sort(F.array_distinct(fingerprints)), " "), F.lit(" -->"))).otherwise(F.lit(""))
 
 
 def decode_marker(body: Column) -> Column:

@@ -39,6 +39,17 @@ def stop_text(phases: DataFrame, ceiling: Column) -> DataFrame:
     return phases.withColumn("text", F.when(~F.col("runs") & F.col("through").isNotNull(), said))
 
 
+class CeilingExceeded(RuntimeError):
+    """A phase would cost more than a run may."""
+
+
+def check_ceiling(phases: DataFrame, ceiling: float | None) -> None:
+    """Raise for the first phase that doesn't run (see phase_gate); a run is stopped before it, not after."""
+    over = stop_text(phases, F.lit(ceiling).cast("double")).filter("text is not null").orderBy("through").first()
+    if over is not None:
+        raise CeilingExceeded(over["text"])
+
+
 def tally(answers: DataFrame, by: list[str]) -> DataFrame:
     """(by, made, failed, all_failed) of calls with a column failed; without an answer a review says nothing about the code."""
     sums = answers.groupBy(*by).agg(F.count(F.lit(1)).alias("made"), F.count_if("failed").alias("failed"))

@@ -138,3 +138,8 @@ def read_diff(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("diff_id"), F.col("value").alias("diff"))
+
+
+def read_diff_stream(spark: SparkSession, stream, diff_id: str = "-") -> DataFrame:
+    """(diff_id, diff): one diff from an open stream of text, as a command reads its standard input."""
+    return spark.createDataFrame([(diff_id, stream.read())], "diff_id string, diff string")

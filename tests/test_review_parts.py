@@ -179,3 +179,42 @@ def test_nearest_of_all_against_all_pairs(spark):
             best = sorted((-shared(p, q), q, j) for j, q, m in rows if m == k and j != i)[:3]
             want += [(i, n, j, -d) for n, (d, _, j) in enumerate(best, 1)]
     assert got == sorted(want)
+
+
+def test_text_report(spark, verdicts):
+    runs = spark.createDataFrame(
+        [("r", "m", 0.5, 12345, 3, 1, 2, "In short.", 4), ("s", None, None, 0, 2, 2, 0, None, 0), ("t", "m", None, 9, 1, 0, 0, None, 0)],
+        "review string, model string, cost double, prompt_tokens long, review_calls int, review_failures int, verify_failures int, summary string, cut int",
+    )
+    got = {r.review: r.report for r in render.text_report(verdicts.withColumn("combined", F.col("confidence")), runs, ["review"]).collect()}
+    assert got["r"] == (
+        "model m  ·  estimated cost $0.5000  ·  12,345 prompt tokens\n\nWARNING: 1 of 3 review call(s) failed, so some files were not reviewed.\n\n"
+        "WARNING: 2 finding(s) were dropped because their verification failed.\n\nIn short.\n\n3 verified finding(s), 2 dropped (1 low_confidence, 1 ranked_out)\n\n"
+        "  CRITICAL  a.py:7  First\n" + " " * 20 + "security · confidence 1.00\n" + " " * 20 + "y = 2\n\n  HIGH      b.py:3  Second\n" + " " * 20 + "correctness · confidence 0.90\n" + " " * 20 + "x = 1\n\n"
+        "  LOW       b.py:9  Third\n" + " " * 20 + "correctness · confidence 0.80\n" + " " * 20 + "z\n\ncontext trimmed to fit the budget: 4 block(s)"
+    )
+    assert got["s"] == "WARNING: all 2 review call(s) failed; the review did not run.\n\nNo findings reported, because the review did not complete."
+    assert got["t"] == "model m  ·  estimated cost unknown (no price for this model)  ·  9 prompt tokens\n\nNo findings survived the gate"
+
+
+def test_ceiling_stops_a_run(spark):
+    calls_ = spark.createDataFrame([("r", "review", "m", "x" * 4000), ("r", "verify", "m", "x" * 4000)], "review string, phase string, model string, prompt string")
+    planned = costs.plan(calls_, spark.createDataFrame([("m", 0.001, 0.0)], "model string, price_in double, price_out double"))
+    phases = lambda c: costs.phase_gate(planned, ["review"], F.lit(c).cast("double"), {"review": 0, "verify": 1})
+    with pytest.raises(costs.CeilingExceeded, match="through the verify"):
+        costs.check_ceiling(phases(1.5), 1.5)
+    for c in (2.5, None):
+        costs.check_ceiling(phases(c), c)
+
+
+def test_markers_hold_each_fingerprint_once(spark):
+    rows = spark.createDataFrame([(["b", "a", "b"],), ([],)], "f array<string>")
+    assert [r[0] for r in rows.select(text.encode_marker(F.col("f"))).collect()] == ["<!-- review-fingerprints a b -->", ""]
+
+
+def test_diff_of_a_stream(spark):
+    import io
+
+    from diffquarry.sources import trees
+
+    assert tuple(trees.read_diff_stream(spark, io.StringIO("--- a\n+++ b\n")).first()) == ("-", "--- a\n+++ b\n")
