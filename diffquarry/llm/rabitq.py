@@ -119,7 +119,8 @@ def asked(rows: DataFrame, seed: int, block: int) -> DataFrame:
 
 
 def chosen(codes: DataFrame, queries: DataFrame, k: int, eps: float, seed: int) -> DataFrame:
-    """(q, rid): for each query the rows whose upper bound reaches the k-th largest lower bound, however many they are.
+    """(q, rid): for each query the vectors whose upper bound reaches the k-th largest lower bound, however many they are, and
+    itself.
 
     A block gives its own k-th largest lower bound; the largest of those over all blocks bounds the k-th of all from below.
     Queries are a stated set that meets all codes, in blocks.
@@ -142,7 +143,8 @@ def chosen(codes: DataFrame, queries: DataFrame, k: int, eps: float, seed: int)
 
     met = materialize(codes.crossJoin(queries).mapInPandas(scan, "q long, rid long, up double, floor double"), "bounds")
     floors = met.groupBy("q").agg(F.max("floor").alias("least"))
-    return met.join(floors, "q").filter("up >= least").select("q", "rid")
+    own = queries.mapInPandas(lambda pdfs: (pd.DataFrame({"q": np.frombuffer(x, "<i8"), "rid": np.frombuffer(x, "<i8")}) for pdf in pdfs for x in pdf["q_rids"]), "q long, rid long")
+    return met.join(floors, "q").filter("up >= least").select("q", "rid").union(own)
 
 
 def _cosines(pdfs):
@@ -152,7 +154,7 @@ def _cosines(pdfs):
             for x, y in zip(pdf["v"], pdf["q_v"], strict=True):
                 x, y = np.asarray(x, float), np.asarray(y, float)
                 made.append((x * y).sum() / np.sqrt((x * x).sum() * (y * y).sum()))
-            yield pd.DataFrame({"q": pdf["q"], "query_id": pdf["query_id"], "vec_id": pdf["vec_id"], "score": made})
+            yield pd.DataFrame({"q": pdf["q"], "rid": pdf["rid"], "least": pdf["least"], "score": made})
 
 
 def nearest(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 5, eps: float = 2.0, seed: int = 11, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -163,23 +165,37 @@ def nearest(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: st
     as candidates of each other too, and each marked row has its own ranks. Fewer candidates than k: all. An empty table
     gives an empty result. Only codes, corrections and rounded queries are scanned; the vectors of chosen rows alone are
     fetched for the exact scores.
+    Equal vectors are coded and asked once, however many rows have them; of those rows the k + 1 with the smallest ids can be
+    neighbours. So a vector that a third of all rows share costs as much as any other.
     """
     rows = vectors.select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v"), F.coalesce(queries, F.lit(False)).alias("asked"))
-    rows = materialize(rows.filter(F.col("vec_id").isNotNull() & _usable(F.col("v"))), "vectors")
-    parts = max(1, -(-rows.count() // block))
-    codes = materialize(coded(rows.repartition(parts, "rid"), seed, block), "codes")
-    own = rows.filter("asked")
+    rows = rows.filter(F.col("vec_id").isNotNull() & _usable(F.col("v"))).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit("second"), F.col("v"))})
+    rows = materialize(rows, "vectors")
+    same = Window.partitionBy("h1", "h2").orderBy("vec_id", "rid")
+    first = materialize(rows.withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k + 1).select("rid", "vec_id", "v", "h1", "h2", "n"), "firsts")
+    distinct = first.filter("n = 1").select("rid", "vec_id", "v", "h1", "h2")
+    named = distinct.select("h1", "h2", F.col("rid").alias("g"))
+    wanted = materialize(rows.filter("asked").select("rid", "vec_id", "h1", "h2").join(named, ["h1", "h2"]).select(F.col("rid").alias("own"), F.col("vec_id").alias("query_id"), F.col("g").alias("q")), "asked")
+    parts = max(1, -(-distinct.count() // block))
+    codes = materialize(coded(distinct.repartition(parts, "rid"), seed, block), "codes")
+    own = distinct.join(wanted.select(F.col("q").alias("rid")).distinct(), "rid", "left_semi")
     few = max(1, -(-own.count() // query_block))
     blocks = materialize(asked(own.repartition(few, "rid"), seed, query_block), "queries")
     near = materialize(chosen(codes, blocks, k, eps, seed), "chosen")
-    own = own.select(F.col("rid").alias("q"), F.col("vec_id").alias("query_id"), F.col("v").alias("q_v"))
+    own = own.select(F.col("rid").alias("q"), F.col("v").alias("q_v"))
     numbers = own.agg(F.sum(F.size("q_v"))).first()[0] or 0
-    met = near.join(rows.select("rid", "vec_id", "v"), "rid").join(F.broadcast(own) if numbers <= BROADCAST_NUMBERS else own, "q")
-    scored = met.mapInPandas(_cosines, "q long, query_id long, vec_id long, score double")
-    w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    best = materialize(scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
-    discard(rows, codes, blocks, near)
-    return best
+    met = near.join(distinct.select("rid", F.col("vec_id").alias("least"), "v"), "rid").join(F.broadcast(own) if numbers <= BROADCAST_NUMBERS else own, "q")
+    scored = met.mapInPandas(_cosines, "q long, rid long, least long, score double")
+
+    def best(pairs, by, order, most):
+        return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), *order))).filter(F.col("rank") <= most)
+
+    members = first.join(named, ["h1", "h2"]).select(F.col("g").alias("rid"), F.col("rid").alias("row"), "vec_id")
+    held = best(scored, "q", ["least"], k + 1).drop("rank").join(members, "rid").select("q", "row", "vec_id", "score")
+    found = wanted.join(best(held, "q", ["vec_id", "row"], k + 1).drop("rank"), "q").filter("row <> own")
+    made = materialize(best(found, "own", ["vec_id", "row"], k).select("query_id", "rank", "vec_id", "score"), "nearest")
+    discard(rows, first, wanted, codes, blocks, near)
+    return made
 
 
 def op4_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
