@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,11 @@ from .common import shared_dir, table
 ODD_SPACE = ["  ", " \n", "\n ", "\n\n", *(chr(c) for c in range(0x10000) if chr(c).isspace() and chr(c) not in " \n")]
 #: A word of plain Latin letters, then marks: two pieces for the tokenizer's own pattern.
 WORD_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ſ]+)([!-&(-/:-@\[-`{-~]+)")
+#: Letters of which a piece is one word for the tokenizer's pattern.
+LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ſ]+")
+#: The character that stands for each byte in a byte-level vocabulary: itself if printable, else the next from 256 on.
+_PRINTABLE = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+BYTE_CHARACTERS = [chr(b) if b in _PRINTABLE else chr(256 + b - sum(x < b for x in _PRINTABLE)) for b in range(256)]
 #: Pieces that a worker remembers.
 REMEMBERED = 900_000
 
@@ -26,9 +32,14 @@ class Pieces(dict):
 
     def __init__(self, tokenizer, lead: str, marks: Pieces | None):
         self.tokenizer, self.lead, self.marks = tokenizer, lead, marks
+        self.model, self.before = tokenizer.model, BYTE_CHARACTERS[32] if lead else ""
 
     def __missing__(self, piece: str) -> bytes:
-        if m := WORD_MARKS.fullmatch(piece):
+        if LETTERS.fullmatch(piece):  # one word, which the model alone cuts up
+            word = piece if piece.isascii() else "".join(map(BYTE_CHARACTERS.__getitem__, piece.encode()))
+            ids = [t.id for t in self.model.tokenize(self.before + word)]
+            made = pack(f"<{len(ids)}I", *ids)
+        elif m := WORD_MARKS.fullmatch(piece):
             made = self[m[1]] + (self if self.marks is None else self.marks)[m[2]]
         else:
             made = np.array(self.tokenizer.encode(self.lead + piece, add_special_tokens=False).ids, "<u4").tobytes()
