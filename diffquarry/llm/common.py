@@ -50,15 +50,16 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy", by: str |
 
 
 def discard(*tables: DataFrame, part: str = "") -> None:
-    """Delete what materialize() wrote, or a part of it, once nothing that is still to run reads it.
-
-    The collection of garbage lets Spark remove the shuffle files of jobs that have ended, too.
-    """
+    """Delete what materialize() wrote, or a part of it, once nothing that is still to run reads it."""
     for df in tables:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at + part)
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-        gc.collect()
-        df.sparkSession._jvm.System.gc()
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of jobs that have ended, which it does when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def send(spark: SparkSession, value) -> Callable:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, materialize
+from .common import discard, free_shuffles, materialize
 from .components import components
 
 #: Units at most whose places are sent to all executors to fetch their texts; beyond, lines are shuffled.
@@ -131,6 +131,10 @@ def _pivots(keyed: DataFrame) -> DataFrame:
     return materialize(members.join(F.broadcast(whole), "band", "left").select("band", "id", "n", F.coalesce("of_all", "pivot").alias("pivot"), "large"), "buckets")
 
 
+#: What a comparison adds to a pair.
+COMPARED = {"apart": "double", "near": "boolean", "size": "int", "length": "int", "own": "array<bigint>", "common": "array<bigint>"}
+
+
 def _compared(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], hashes: Callable[[Column], Column], threshold: float) -> DataFrame:
     """pairs (a, b, large) with apart, their Jaccard distance, and near, whether they reach threshold.
 
@@ -138,6 +142,8 @@ def _compared(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], hash
     b lacks; and common, as many shingles of both, by hash, as the prefix has room for.
     """
     pairs = materialize(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs.select("a", "b", "large", *[F.lit(None).cast(kind).alias(name) for name, kind in COMPARED.items()])
     texts = materialize(texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), "texts", "zstd")
     met = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "x"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "y"}), "b")
     sets = met.select("a", "b", "large", F.array_distinct(hashes(F.col("x"))).alias("x"), F.array_distinct(hashes(F.col("y"))).alias("y"))
@@ -202,6 +208,8 @@ def similarity_links(keyed: DataFrame, texts_of: Callable[[DataFrame], DataFrame
     whole = left = links = first = None
     for _ in range(rounds):
         members = _pivots(keyed if left is None else left)
+        if left is None:
+            free_shuffles(keyed.sparkSession)
         apart = members.filter("id <> pivot")
         pairs = apart.groupBy(F.col("id").alias("a"), F.col("pivot").alias("b")).agg(F.max("large").alias("large"))
         got = _compared(pairs if left is None else pairs.withColumn("large", F.lit(False)), texts_of, hashes, threshold)
@@ -213,6 +221,7 @@ def similarity_links(keyed: DataFrame, texts_of: Callable[[DataFrame], DataFrame
         left = apart.join(got.filter(~F.col("near")).select(F.col("a").alias("id"), F.col("b").alias("pivot")), ["id", "pivot"]).select("band", "id", "n")
     roots = materialize(components(links), "roots")
     last = _compared(_rest(whole, first, roots, threshold).withColumn("large", F.lit(False)), texts_of, hashes, threshold)
+    free_shuffles(keyed.sparkSession)
     return links.union(last.filter("near").select("a", "b"))
 
 
@@ -253,6 +262,7 @@ def unit_classes(lines: DataFrame, signed: DataFrame, key: str, hashes: Callable
     places = materialize(signed.drop("keys"), "places")
     if hasattr(signed, "written_at"):
         discard(signed)
+    free_shuffles(lines.sparkSession)
     of_place = units.select("id", "h1", *first_place("place", "of", "at"))
 
     def texts_of(ids: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BLANKS, discard, materialize
+from .common import BLANKS, discard, free_shuffles, materialize
 from .common import table as read
 from .minhash import first_place, place_of, tune, unit_classes, word_hashes
 
@@ -162,6 +162,7 @@ def _windows(table: DataFrame, key: str) -> DataFrame:
     found = made.join(seen, ["h1", "h2"]).select("k", "at", *first_place("first", "first_key", "first_at"), (F.col("place") == F.col("first")).alias("keep")).drop("first_at").distinct()
     found = materialize(found, "repeats").withColumnRenamed("k", key)
     discard(table, part="/kind=1")
+    free_shuffles(table.sparkSession)
     return found
 
 
