@@ -24,18 +24,24 @@ LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ſ]+")
 _PRINTABLE = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 BYTE_CHARACTERS = [chr(b) if b in _PRINTABLE else chr(256 + b - sum(x < b for x in _PRINTABLE)) for b in range(256)]
 #: Pieces that a worker remembers.
-REMEMBERED = 900_000
+REMEMBERED = 1_000_000
 
 
 class Pieces(dict):
-    """Ids by piece, as little-endian uint32 bytes; lead is what stands before each key in the text."""
+    """Ids by piece, as little-endian uint32 bytes; lead is what stands before each key in the text.
+
+    What was asked for last is kept: of REMEMBERED pieces at most, the older half goes when the newer is full.
+    """
 
     def __init__(self, tokenizer, lead: str, marks: Pieces | None):
         self.tokenizer, self.lead, self.marks = tokenizer, lead, marks
         self.model, self.before = tokenizer.model, BYTE_CHARACTERS[32] if lead else ""
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        if LETTERS.fullmatch(piece):  # one word, which the model alone cuts up
+        if (made := self.older.pop(piece, None)) is not None:
+            pass
+        elif LETTERS.fullmatch(piece):  # one word, which the model alone cuts up
             word = piece if piece.isascii() else "".join(map(BYTE_CHARACTERS.__getitem__, piece.encode()))
             ids = [t.id for t in self.model.tokenize(self.before + word)]
             made = pack(f"<{len(ids)}I", *ids)
@@ -43,7 +49,8 @@ class Pieces(dict):
             made = self[m[1]] + (self if self.marks is None else self.marks)[m[2]]
         else:
             made = np.array(self.tokenizer.encode(self.lead + piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= REMEMBERED:
+        if len(self) >= REMEMBERED // 2:
+            self.older = dict(self)
             self.clear()
         self[piece] = made
         return made
