@@ -122,8 +122,8 @@ def chosen(codes: DataFrame, queries: DataFrame, k: int, eps: float, seed: int)
     """(q, rid): for each query the vectors whose upper bound reaches the k-th largest lower bound, however many they are, and
     itself.
 
-    A block gives its own k-th largest lower bound; the largest of those over all blocks bounds the k-th of all from below.
-    Queries are a stated set that meets all codes, in blocks.
+    A block gives the rows that its own k-th largest lower bound leaves, its k best among them, from which that of all
+    blocks is found. Queries are a stated set that meets all codes, in blocks.
     """
 
     def scan(pdfs):
@@ -139,10 +139,11 @@ def chosen(codes: DataFrame, queries: DataFrame, k: int, eps: float, seed: int)
                     low, up = np.where(rids == q, -np.inf, about - off), about + off
                     floor = np.partition(low, -k)[-k] if len(low) > k else -np.inf
                     near = np.flatnonzero((up >= floor) & (rids != q))
-                    yield pd.DataFrame({"q": q, "rid": rids[near], "up": up[near], "floor": floor})
+                    yield pd.DataFrame({"q": q, "rid": rids[near], "low": low[near], "up": up[near]})
 
-    met = materialize(codes.crossJoin(queries).mapInPandas(scan, "q long, rid long, up double, floor double"), "bounds")
-    floors = met.groupBy("q").agg(F.max("floor").alias("least"))
+    met = materialize(codes.crossJoin(queries).mapInPandas(scan, "q long, rid long, low double, up double"), "bounds")
+    ranked = met.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("low")))).filter(F.col("n") <= k)
+    floors = ranked.groupBy("q").agg(F.when(F.count(F.lit(1)) == k, F.min("low")).otherwise(F.lit(float("-inf"))).alias("least"))
     own = queries.mapInPandas(lambda pdfs: (pd.DataFrame({"q": np.frombuffer(x, "<i8"), "rid": np.frombuffer(x, "<i8")}) for pdf in pdfs for x in pdf["q_rids"]), "q long, rid long")
     return met.join(floors, "q").filter("up >= least").select("q", "rid").union(own)
 
