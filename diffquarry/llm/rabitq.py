@@ -178,10 +178,10 @@ def nearest(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: st
     named = distinct.select("h1", "h2", F.col("rid").alias("g"))
     wanted = materialize(rows.filter("asked").select("rid", "vec_id", "h1", "h2").join(named, ["h1", "h2"]).select(F.col("rid").alias("own"), F.col("vec_id").alias("query_id"), F.col("g").alias("q")), "asked")
     parts = max(1, -(-distinct.count() // block))
-    codes = materialize(coded(distinct.repartition(parts, "rid"), seed, block), "codes")
+    codes = materialize(coded(distinct.repartition(parts), seed, block), "codes")
     own = distinct.join(wanted.select(F.col("q").alias("rid")).distinct(), "rid", "left_semi")
     few = max(1, -(-own.count() // query_block))
-    blocks = materialize(asked(own.repartition(few, "rid"), seed, query_block), "queries")
+    blocks = materialize(asked(own.repartition(few), seed, query_block), "queries")
     near = materialize(chosen(codes, blocks, k, eps, seed), "chosen")
     own = own.select(F.col("rid").alias("q"), F.col("v").alias("q_v"))
     numbers = own.agg(F.sum(F.size("q_v"))).first()[0] or 0
