@@ -1,10 +1,14 @@
-"""Language-model scores by prediction by partial matching: byte-context trie, escapes, symbol exclusion."""
+"""Language-model scores by prediction by partial matching: byte contexts over whole texts, escapes, exclusion, update exclusion.
+
+text_scores is what the query runs. code_lengths, a mixture of words by class with a trie for new words, is kept beside it.
+"""
 
 from __future__ import annotations
 
 import math
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +26,12 @@ ENTRIES = 1_000_000
 HEAD = 1 << 16
 #: Classes of texts with counts of their own, besides one for all others.
 MOST_CLASSES = 6
+#: Bytes of context at most over whole texts, across words; entries that executors hold; bytes that are looked at at once.
+TEXT_ORDER, TEXT_ENTRIES, PIECE = 5, 1 << 21, 1 << 20
+#: Longest contexts that are counted together before they are sent on.
+COUNTED = 1 << 23
+#: The byte before and after a text, which no word holds.
+TEXT_EDGE = 10
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -196,7 +206,11 @@ def train(words: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
 
     made = words.filter("word is not null and n > 0").select("word").mapInArrow(batches, "key long, n long")
-    made = materialize(made.groupBy("key").agg(F.sum("n").alias("n")), "trie")
+    return _sums(materialize(made.groupBy("key").agg(F.sum("n").alias("n")), "trie"))
+
+
+def _sums(made: DataFrame) -> DataFrame:
+    """Entries (key, n) with context and its sums: total, kinds, and excluded, the counts of its bytes in the next shorter one."""
     shorter = F.when(_order("key") > 0, _shorter("key", F.greatest(_order("key") - 1, F.lit(0))))
     below = made.select(F.col("key").alias("parent"), F.col("n").alias("below"))
     held = made.withColumn("parent", shorter).join(below, "parent", "left").withColumn("context", F.shiftright("key", 8))
@@ -230,6 +244,36 @@ def _escapes(asked: DataFrame, trie: DataFrame) -> DataFrame:
     return path.select("key", F.aggregate("path", start, step, lambda s: F.when(s["done"], s["code"]).otherwise(s["code"] - F.log10(256 - s["without"]))).alias("code"))
 
 
+def _head(trie: DataFrame, order: int, first: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, codes, counts), by key, of up to most entries, the most frequent ones, under contexts that aren't shorter than
+    need be: those of order bytes, and those that begin with first."""
+    k = _order("key")
+    edge = F.expr(f"shiftright(shiftright(key, 8) & 281474976710655, 8 * (greatest(cast(shiftright(key, 56) as int), 1) - 1)) = {first}")
+    longest = trie.filter((k == order) | ((k > 0) & edge))
+    steps = [1 << i for i in range(40)]
+    sizes = longest.agg(*[F.count_if(F.col("n") >= s).alias(str(s)) for s in steps]).first()
+    least = next(s for s in steps if sizes[str(s)] <= most)
+    got = longest.filter(F.col("n") >= least).select("key", _code().alias("code"), "n").toArrow()  # most rows of three numbers
+    keys, by = got["key"].to_numpy().view(np.uint64), np.argsort(got["key"].to_numpy())
+    return keys[by], got["code"].to_numpy()[by], got["n"].to_numpy()[by]
+
+
+def _code() -> Column:
+    """log10 probability of an entry under a longest context."""
+    return F.log10((F.col("n") - 0.5) / F.col("total"))
+
+
+def _joined(rare: DataFrame, trie: DataFrame) -> DataFrame:
+    """(rid, more): the sums of m times the code by the whole trie of entries (rid, key, m) under longest contexts."""
+    rare = rare.join(trie.select("key", _code().alias("more")), "key", "left")
+    rare = materialize(rare.select("rid", "m", F.when(F.col("more").isNull(), F.col("key")).alias("key"), "more"), "rare")
+    escaped = rare.filter("key is not null").select("rid", "m", "key")
+    codes = _escapes(escaped.select("key").distinct(), trie)
+    none = F.lit(-math.log10(256))
+    escaped = escaped.join(codes, "key", "left").select("rid", "m", F.coalesce("code", none).alias("more"))
+    return rare.filter("key is null").select("rid", "m", "more").union(escaped).groupBy("rid").agg(F.sum(F.col("m") * F.col("more")).alias("more"))
+
+
 def word_codes(words: DataFrame, trie: DataFrame, most: int | None = None) -> DataFrame:
     """words (word, ...) with code: log10 probability by the whole trie of each word and its end.
 
@@ -237,17 +281,8 @@ def word_codes(words: DataFrame, trie: DataFrame, most: int | None = None) -> Da
     entries, the most frequent ones, and the others are joined. Bytes that must escape are joined with all their contexts.
     """
     spark, columns = words.sparkSession, words.columns
-    k = _order("key")
-    edge = F.expr("shiftright(shiftright(key, 8) & 281474976710655, 8 * (greatest(cast(shiftright(key, 56) as int), 1) - 1)) = 32")
-    longest = trie.filter((k == ORDER) | ((k > 0) & edge))
-    steps = [1 << i for i in range(40)]
-    sizes = longest.agg(*[F.count_if(F.col("n") >= s).alias(str(s)) for s in steps]).first()
-    least = next(s for s in steps if sizes[str(s)] <= (ENTRIES if most is None else most))
-    value = F.log10((F.col("n") - 0.5) / F.col("total"))
-    got = longest.filter(F.col("n") >= least).select("key", value.alias("code")).toArrow()  # most rows of two numbers
-    keys, codes = got["key"].to_numpy().view(np.uint64), got["code"].to_numpy()
-    by = np.argsort(keys)
-    head = spark.sparkContext.broadcast((keys[by], codes[by]))
+    keys, codes, _ = _head(trie, ORDER, 32, ENTRIES if most is None else most)
+    head = spark.sparkContext.broadcast((keys, codes))
 
     def coded(it):
         from pyspark import TaskContext
@@ -265,13 +300,7 @@ def word_codes(words: DataFrame, trie: DataFrame, most: int | None = None) -> Da
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema)
     both = materialize(words.mapInArrow(coded, f"rid long, {fields}, code double, key long"), "coded")
-    rare = both.filter("key is not null").select("rid", "key").join(trie.select("key", value.alias("more")), "key", "left")
-    rare = materialize(rare.select("rid", F.when(F.col("more").isNull(), F.col("key")).alias("key"), "more"), "rare")
-    escaped = rare.filter("key is not null").select("rid", "key")
-    codes = _escapes(escaped.select("key").distinct(), trie)
-    none = F.lit(-math.log10(256))
-    escaped = escaped.join(codes, "key", "left").select("rid", F.coalesce("code", none).alias("more"))
-    sums = rare.filter("key is null").select("rid", "more").union(escaped).groupBy("rid").agg(F.sum("more").alias("more"))
+    sums = _joined(both.filter("key is not null").select("rid", "key", F.lit(1).alias("m")), trie)
     whole = both.filter("key is null").join(sums, "rid", "left")
     return whole.select(*columns, (F.col("code") + F.coalesce("more", F.lit(0.0))).alias("code"))
 
@@ -369,8 +398,218 @@ def code_lengths(docs: DataFrame, key: str = "doc_id", text: str = "text", group
     return whole.select(F.col("key").alias(key), "held_out", "n_tokens", F.col("n_known").cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), "base_score", score.alias("score"))
 
 
+def joined_words(words: list[bytes]) -> bytes:
+    """What is predicted of a text: its words with single blanks, between two edges."""
+    return b"\n" + b" ".join(words) + b"\n"
+
+
+def pieces(text: bytes) -> Iterator[tuple[bytes, int, bool]]:
+    """(bytes, how many at their start are context only, whether they begin the text): a text in parts of PIECE bytes."""
+    for at in range(0, len(text), PIECE):
+        yield text[max(0, at - TEXT_ORDER) : at + PIECE], min(at, TEXT_ORDER) or 1, at <= TEXT_ORDER
+
+
+def piece_keys(parts: list[tuple[bytes, int, bool]]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the part, key of the entry under the longest context) of all bytes to predict.
+
+    The longest context is the TEXT_ORDER bytes before, across words; at the start of a text, all that is before.
+    """
+    sizes, skipped, starts = (np.array([f(p) for p in parts], np.int64) for f in (lambda p: len(p[0]), lambda p: p[1], lambda p: p[2]))
+    flat = np.frombuffer(bytes(TEXT_ORDER) + b"".join([p[0] for p in parts]), np.uint8)
+    n = len(flat) - TEXT_ORDER
+    keys = np.zeros(n, np.uint64)
+    for k in range(TEXT_ORDER, -1, -1):
+        np.left_shift(keys, np.uint64(8), out=keys)
+        keys |= flat[TEXT_ORDER - k : TEXT_ORDER - k + n]
+    keys |= np.uint64(TEXT_ORDER << 56)
+    first, keep = np.cumsum(sizes) - sizes, np.ones(n, bool)
+    for p in range(TEXT_ORDER):
+        at = first[(starts > 0) & (sizes > p)] + p
+        keys[at] = (keys[at] & np.uint64((1 << 8 * (p + 1)) - 1)) | np.uint64(p << 56)
+        keep[first[skipped > p] + p] = False
+    return np.repeat(np.arange(len(parts)), sizes - skipped), keys[keep]
+
+
+def train_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The trie, see _sums, of the texts that aren't held out, with contexts of 0 to TEXT_ORDER bytes across words.
+
+    Every byte of every text counts under its longest context. Update exclusion: under a shorter one it counts only where
+    it is new under the next longer one, so once for each longer context that it follows.
+    """
+
+    def batches(it):
+        made, size = [], 0
+
+        def flush():
+            keys = np.concatenate([np.zeros(0, np.uint64), *made])
+            keys.sort()
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+            made.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(np.diff(np.append(first, len(keys))))], names=["key", "n"])
+
+        for b in it:
+            parts, held = [], 0
+            for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if is_held_out(k):
+                    continue
+                for part in pieces(joined_words(split_words(t.as_py()))):
+                    parts.append(part)
+                    held += len(part[0])
+                    if held >= PIECE:
+                        made.append(piece_keys(parts)[1])
+                        size, parts, held = size + held, [], 0
+                if size >= COUNTED:
+                    yield flush()
+                    size = 0
+            if parts:
+                made.append(piece_keys(parts)[1])
+                size += held
+        yield flush()
+
+    counted = docs.select(F.col(key), F.col(text)).mapInArrow(batches, "key long, n long")
+    counted = materialize(counted.groupBy("key").agg(F.sum("n").alias("n")), "longest")
+    trie = longer = counted.filter(_order("key") == TEXT_ORDER)
+    for k in range(TEXT_ORDER - 1, -1, -1):
+        new = longer.select(_shorter("key", F.lit(k)).alias("key"), F.lit(1).cast("long").alias("n"))
+        longer = materialize(counted.filter(_order("key") == k).union(new).groupBy("key").agg(F.sum("n").alias("n")), "order")
+        trie = trie.union(longer)
+    return _sums(trie)
+
+
+def hash_tables(keys: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+    """(multiplier, shift, table): where a key may stand in keys. A key that loses its slot to a more frequent one goes to
+    the next table; what has no slot in the last isn't found, and is joined as a rare one."""
+    made, left, bits = [], np.argsort(counts, kind="stable").astype(np.int32), max(4, (2 * len(keys)).bit_length())
+    for by in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93):
+        at = (keys[left] * np.uint64(by)) >> np.uint64(64 - bits)
+        slots = np.zeros(1 << bits, np.int32)
+        slots[at] = left
+        made.append((by, 64 - bits, slots))
+        left = left[slots[at] != left]
+        bits = max(4, bits - 1)
+    return made
+
+
+def look_up(keys: np.ndarray, tables: list[tuple[int, int, np.ndarray]], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each of wanted is found, and where in keys."""
+    if not len(keys):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int32)
+    by, shift, slots = tables[0]
+    at = slots[(wanted * np.uint64(by)) >> np.uint64(shift)]
+    found = keys[at] == wanted
+    for by, shift, slots in tables[1:]:
+        rest = np.flatnonzero(~found)
+        at[rest] = slots[(wanted[rest] * np.uint64(by)) >> np.uint64(shift)]
+        found[rest] = keys[at[rest]] == wanted[rest]
+    return found, at
+
+
+def text_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int | None = None) -> DataFrame:
+    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
+
+    Rows whose crc32(key as text) mod 10 is 0 are held out and teach nothing; null keys aren't held out. Tokens are a
+    row's words and one end. base_score: add-0.1 smoothed token counts, as log10.
+
+    score: log10 probability of all bytes of the words, with single blanks, and of the end. Each byte is predicted from the
+    TEXT_ORDER bytes before it, across words: a byte seen c times in a context of n has (c - 1/2) / n (escape method D), an
+    escape to the next shorter context the rest; bytes seen in a longer context are excluded from shorter ones, which
+    count by update exclusion; below the empty context all bytes left are as likely.
+
+    Null and empty texts are one end. Repeated rows count and score each for themselves. An empty table gives an empty
+    result; without training rows every byte is as likely. Executors hold up to most entries of the trie (TEXT_ENTRIES),
+    the most frequent ones, and the HEAD most frequent words; other entries and words of a row are joined with the whole trie
+    and vocabulary, so memory doesn't grow with the corpus or with a text, and nothing is left out.
+    """
+    spark = docs.sparkSession
+    counted = materialize(vocabulary(docs, key, text, None, []).withColumnRenamed("n0", "n"), "counts")
+    word = F.col("word").isNotNull()
+    sums = counted.agg(F.sum(F.when(word, F.col("n"))).alias("words"), F.count_if(word & (F.col("n") > 0)).alias("kinds"), F.sum(F.when(~word, F.col("n"))).alias("ends")).first()
+    ends = sums["ends"] or 0
+    tokens, kinds = (sums["words"] or 0) + ends, sums["kinds"] + (ends > 0)
+    smooth = tokens + 0.1 * (kinds + 1)
+
+    trie = train_texts(docs, key, text)
+    keys, codes, counts = _head(trie, TEXT_ORDER, TEXT_EDGE, TEXT_ENTRIES if most is None else most)
+    known = counted.filter(word)
+    top = known.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()  # HEAD rows
+    index = {w: i for i, w in enumerate(top["word"].to_pylist())}
+    n_of = top["n"].to_numpy().astype(float)
+    head = spark.sparkContext.broadcast((index, np.stack([n_of > 0, np.log10((n_of + 0.1) / smooth)], 1), keys, hash_tables(keys, counts), codes))
+    kind = docs.schema[key].dataType.simpleString()
+    at_end = [float(ends > 0), math.log10((ends + 0.1) / smooth)]
+
+    def scored(it):
+        from pyspark import TaskContext
+
+        row, (index, of, keys, tables, codes) = TaskContext.get().partitionId() << 40, head.value
+        get = index.get
+
+        def coded(parts, rows, score):
+            """Adds known codes to score, and gives (row, key, times) of bytes that aren't."""
+            number, wanted = piece_keys(parts)
+            found, at = look_up(keys, tables, wanted)
+            number = np.array(rows, np.int64)[number]
+            score += np.bincount(number[found], codes[at[found]], len(score))
+            number, wanted = number[~found], wanted[~found]
+            by = np.lexsort((wanted, number))
+            number, wanted = number[by], wanted[by]
+            first = np.flatnonzero(np.append(True, (number[1:] != number[:-1]) | (wanted[1:] != wanted[:-1]))) if len(number) else by
+            return number[first], wanted[first].view(np.int64), np.diff(np.append(first, len(number)))
+
+        for b in it:
+            for start in range(0, b.num_rows, 200):
+                part = b.slice(start, 200)
+                rid, words, n, sizes, held, base = [], [], [], [], [], []
+                score, parts, rows, size, rare = np.zeros(part.num_rows), [], [], 0, [(np.zeros(0, np.int64),) * 3]
+                for i, (k, t) in enumerate(zip(part.column(0).to_pylist(), part.column(1), strict=True)):
+                    split = split_words(t.as_py())
+                    hits, times = [], []
+                    for w, m in Counter(split).items():
+                        if (j := get(w)) is None:
+                            rid.append(row + i)
+                            words.append(w)
+                            n.append(m)
+                        else:
+                            hits.append(j)
+                            times.append(m)
+                    base.append((np.array(times, float) @ of[hits] if hits else np.zeros(2)) + at_end)
+                    sizes.append(len(split) + 1)
+                    held.append(is_held_out(k))
+                    for p in pieces(joined_words(split)):
+                        parts.append(p)
+                        rows.append(i)
+                        size += len(p[0])
+                        if size >= PIECE:
+                            rare.append(coded(parts, rows, score))
+                            parts, rows, size = [], [], 0
+                if parts:
+                    rare.append(coded(parts, rows, score))
+                number, entry, m = (np.concatenate(x) for x in zip(*rare, strict=True))
+                base, spare = np.array(base), len(rid) + len(entry)
+                before = lambda x: pa.concat_arrays([pa.nulls(spare, x.type), x])  # noqa: B023, E731
+                made = {
+                    "rid": pa.array(np.concatenate([np.array(rid, np.int64), row + number, row + np.arange(part.num_rows)])),
+                    "word": pa.array(words + [None] * (len(entry) + part.num_rows), pa.binary()),
+                    "entry": pa.concat_arrays([pa.nulls(len(rid), pa.int64()), pa.array(entry), pa.nulls(part.num_rows, pa.int64())]),
+                    "m": pa.concat_arrays([pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.nulls(part.num_rows, pa.int64())]),
+                    "key": before(part.column(0)), "held_out": before(pa.array(held, pa.bool_())), "n_tokens": before(pa.array(sizes, pa.int64())),
+                    "n_known": before(pa.array(base[:, 0])), "base_score": before(pa.array(base[:, 1])), "score": before(pa.array(score)),
+                }
+                row += part.num_rows
+                yield pa.RecordBatch.from_pydict(made)
+
+    fields = f"rid long, word binary, entry long, m long, key {kind}, held_out boolean, n_tokens long, n_known double, base_score double, score double"
+    both = materialize(docs.select(F.col(key), F.col(text)).mapInArrow(scored, fields), "parts")
+    rest = both.filter(word).select("rid", "word", "m").join(known, "word")
+    rest = rest.groupBy("rid").agg(F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("more_known"), F.sum(F.col("m") * F.log10((F.col("n") + 0.1) / smooth)).alias("more_base"))
+    deep = _joined(both.filter("entry is not null").select("rid", F.col("entry").alias("key"), "m"), trie)
+    whole = both.filter("held_out is not null").drop("word", "entry", "m").join(rest, "rid", "left").join(deep, "rid", "left")
+    more = lambda c, d: F.col(c) + F.coalesce(d, F.lit(0))
+    return whole.select(F.col("key").alias(key), "held_out", "n_tokens", more("n_known", "more_known").cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), more("base_score", "more_base").alias("base_score"), more("score", "more").alias("score"))
+
+
 def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code_lengths(table(spark, sf_dir, "documents"))
+    return text_scores(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op7_ppm": op7_ppm}

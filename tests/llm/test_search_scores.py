@@ -254,6 +254,70 @@ def test_held_out_texts_beat_the_base(spark):
     assert held.s > held.b
 
 
+def ppm_by_hand(rows, order):
+    """The score of every row by an adaptive model: dictionaries, updated byte by byte down to where a byte is known."""
+    texts = [b"\n" + b" ".join(ppm.split_words(t)) + b"\n" for _, t in rows]
+    counts = {}
+    for (k, _), s in zip(rows, texts, strict=True):
+        for i in range(1, len(s)) if k is None or zlib.crc32(str(k).encode()) % 10 else ():
+            for n in range(min(i, order), -1, -1):
+                at = counts.setdefault(s[i - n : i], {})
+                at[s[i]] = at.get(s[i], 0) + 1
+                if at[s[i]] > 1:
+                    break
+    made = []
+    for s in texts:
+        total = 0.0
+        for i in range(1, len(s)):
+            gone = set()
+            for n in range(min(i, order), -1, -1):
+                if not (seen := counts.get(s[i - n : i], {})):
+                    continue
+                mass, kinds = sum(c for b, c in seen.items() if b not in gone), len(set(seen) - gone)
+                if s[i] in seen:
+                    total += math.log10((seen[s[i]] - 0.5) / mass)
+                    break
+                if kinds:
+                    total += math.log10(kinds / 2 / mass)
+                gone = set(seen)
+            else:
+                total -= math.log10(256 - len(gone))
+        made.append(total)
+    return made
+
+
+@pytest.mark.parametrize(("most", "piece"), [(None, 1 << 20), (0, 3), (40, 7)])
+def test_text_scores_against_an_adaptive_model(spark, monkeypatch, most, piece):
+    """Contexts cross words, entries that executors don't hold are joined, and long texts are cut without a loss."""
+    monkeypatch.setattr(ppm, "HEAD", 3)
+    monkeypatch.setattr(ppm, "PIECE", piece)
+    rnd = random.Random(15)
+    word = lambda: "".join(rnd.choice("abcÉé") for _ in range(rnd.randrange(1, 5)))
+    rows = [(i, " ".join(word() for _ in range(rnd.randrange(0, 15)))) for i in range(70)]
+    rows += [(i, "ab zz\u4e00 q " + word()) for i in range(300, 340)] + [(200, None), (201, ""), (None, " \n"), (202, "a b " * 500), rows[0], (400, "one two three"), (401, "three two one")]
+    assert any(zlib.crc32(str(k).encode()) % 10 == 0 for k, _ in rows if k is not None)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("n", "word", "entry", "score")})
+    got = ppm.text_scores(docs, most=most).collect()
+    assert sorted((str(r.doc_id), r.score) for r in got) == [(k, pytest.approx(s, rel=1e-9)) for k, s in sorted((str(k), s) for (k, _), s in zip(rows, ppm_by_hand(rows, ppm.TEXT_ORDER), strict=True))]
+    base = {str(r.doc_id): (r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in ppm.code_lengths(docs.drop("lang"), group=None).collect()}
+    assert base == {str(r.doc_id): (r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got}
+    assert ppm.text_scores(docs.limit(0)).count() == 0
+
+
+def test_ppm_query_reads_the_order_of_words(spark, tmp_path):
+    rows = [(i, "the cat sat on the mat") for i in range(1, 30)] + [(1000, "the cat sat on the mat"), (1001, "mat the on sat cat the")]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in ppm.op7_ppm(spark, str(tmp_path)).collect()}
+    assert got[1000].base_score == pytest.approx(got[1001].base_score) and got[1000].score > got[1001].score + 1
+    untaught = ppm.text_scores(spark.createDataFrame([(k, "ab") for k in range(100) if zlib.crc32(str(k).encode()) % 10 == 0], "doc_id long, text string")).collect()
+    assert untaught and all(r.score == pytest.approx(-3 * math.log10(256)) and r.n_known == 0 for r in untaught)
+
+
+def test_ppm_query_beats_the_base(spark):
+    held = ppm.op7_ppm(spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.count("*").alias("n")).first()
+    assert held.n > 0 and held.s > held.b
+
+
 def test_decoding():
     words = {w: 50.0 for w in ("idiot", "stupid", "loser", "hello", "good", "tree", "book", "letter")}
     restore = toxicity.Restorer(toxicity.trigrams(words), frozenset(("idiot", "stupid", "loser")))
