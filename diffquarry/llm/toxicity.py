@@ -5,21 +5,23 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, send, table
+from .common import discard, free_shuffles, materialize, send, table
 
-#: Labelled rows that the classifier is fitted on, in expectation; beyond, rows are taken by a hash of their key.
-FIT_ROWS = 20_000
 #: Labelled documents that must hold a feature, and how much more often toxic ones must.
 LEAST_DOCS, LEAST_LIFT = 3, 8
 #: Word starts that count as features besides whole words.
 STARTS = (3, 4, 5, 6, 7)
 
+#: Columns of what the classifier sees of a text, see signals().
+SIGNALS = ("most", "strong", "total")
+
 #: What a mark may stand for, with costs in nats.
 LEET = {
     "0": (("o", 0.5),), "1": (("i", 0.5), ("l", 0.7)), "2": (("z", 1.0),), "3": (("e", 0.5),), "4": (("a", 0.5),),
@@ -154,21 +156,29 @@ def signals(words: set[str], table: dict[str, tuple[int, int]], openings: set[st
     return [min(most, 6.0), math.log1p(strong), min(total, 20.0) / 4]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.001, rounds: int = 50) -> np.ndarray:
-    """Coefficients, the intercept last, by Newton's method."""
+def newton_sums(x: np.ndarray, y: np.ndarray, n: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Gradient and Hessian of the logistic loss of rows x with labels y that occur n times, as one array."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    b = np.zeros(x.shape[1])
+    p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+    return np.append(x.T @ (n * (p - y)), (x * (n * p * (1 - p))[:, None]).T @ x)
+
+
+def fit_logistic(sums: Callable[[np.ndarray], np.ndarray], size: int, penalty: float = 0.001, rounds: int = 50) -> np.ndarray:
+    """Coefficients, the intercept last, by Newton's method. sums: newton_sums of all rows at given coefficients."""
+    b = np.zeros(size)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        grad = x.T @ (p - y) + penalty * b
-        hess = (x * (p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(b))
-        b -= np.linalg.solve(hess, grad)
+        got = sums(b)
+        step = np.linalg.solve(got[size:].reshape(size, size) + penalty * np.eye(size), got[:size] + penalty * b)
+        b = b - step
+        if np.abs(step).max() <= 1e-9 * max(1.0, np.abs(b).max()):
+            break
     return b
 
 
 class Model:
-    """A fitted scorer: trigrams of the rows' words, features and their counts, and coefficients. The rows that it is fitted
-    on are bounded, and so is what it holds. typical: the count of the most frequent word."""
+    """A fitted scorer: trigrams of the rows' words, features and their counts, and coefficients. It holds no rows: its size
+    grows with the different trigrams of letters and with the words that are toxic by LEAST_DOCS and LEAST_LIFT.
+    typical: the count of the most frequent word."""
 
     def __init__(self, three: dict[str, float], typical: float, table: dict[str, tuple[int, int]], toxic: int, clean: int):
         self.three, self.typical, self.table, self.toxic, self.clean, self.b = three, typical, table, toxic, clean, np.array([0.0, 0.0, 0.0, -2.0])
@@ -214,37 +224,48 @@ def _counts(it):
     yield flush()
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
-    """A model from labelled rows, of which about fit_rows are used, chosen by a hash of key; null labels don't count.
+def fit(labelled: DataFrame, text: str = "text", label: str = "toxic") -> Model:
+    """A model from all labelled rows: their counts, and coefficients from the signals of each; null labels don't count.
 
-    Without rows of both labels the model knows no feature and scores every text alike.
+    Rows repeat as often as they stand there. Signals stay in the shared folder, equal ones together; a round of Newton's
+    method brings sums to the driver. Without rows of both labels the model knows no feature and scores every text alike.
     """
-    rows = labelled.filter(F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), (F.col(label) != 0).cast("int").alias("y"))
-    n = rows.count()
-    part = min(1.0, fit_rows / max(1, n))
-    rows = materialize(rows.filter(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(part * (1 << 30))) if part < 1 else rows, "labelled")
+    rows = labelled.filter(F.col(label).isNotNull()).select(F.col(text).alias("t"), (F.col(label) != 0).cast("int").alias("y"))
+    rows = materialize(rows, "labelled", "zstd")
+    free_shuffles(rows.sparkSession)
     by = {r["y"]: r["c"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("c")).collect()}
     toxic, clean = by.get(1, 0), by.get(0, 0)
     if not toxic or not clean:
+        discard(rows)
         return Model({}, 1.0, {}, toxic, clean)
-    counted = materialize(rows.select("t", "y").mapInArrow(_counts, "kind int, item string, p long, n long").groupBy("kind", "item").agg(F.sum("p").alias("p"), F.sum("n").alias("n")), "features")
+    counted = materialize(rows.mapInArrow(_counts, "kind int, item string, p long, n long").groupBy("kind", "item").agg(F.sum("p").alias("p"), F.sum("n").alias("n")), "features")
     lift = (F.col("p") + 0.2) / (toxic + 1) / ((F.col("n") + 0.5) / (clean + 1))
     kept = counted.filter((F.col("kind") == 0) & (F.col("p") >= LEAST_DOCS) & (lift >= LEAST_LIFT))
     words = counted.filter("kind = 1").select(F.concat(F.lit("^^"), "item", F.lit("$")).alias("s"), "p")
     parts = F.transform(F.sequence(F.lit(1), F.length("s") - 2), lambda i: F.substring("s", i, F.lit(3)))
-    three = words.select(F.explode(parts).alias("t"), "p").groupBy("t").agg(F.sum("p").alias("p")).collect()  # of fit_rows rows
+    three = words.select(F.explode(parts).alias("t"), "p").groupBy("t").agg(F.sum("p").alias("p")).collect()  # different trigrams of letters
     typical = words.agg(F.max("p")).first()[0] or 1
-    model = Model({r["t"]: float(r["p"]) for r in three}, float(typical), {r["item"]: (r["p"], r["n"]) for r in kept.collect()}, toxic, clean)
+    model = Model({r["t"]: float(r["p"]) for r in three}, float(typical), {r["item"]: (r["p"], r["n"]) for r in kept.select("item", "p", "n").collect()}, toxic, clean)
+    sent = send(rows.sparkSession, model)
 
     def seen(it):
         for b in it:
             labels = b.column(1).to_pylist()
-            x = [model.signals(t.as_py(), y) for t, y in zip(b.column(0), labels, strict=True)]
-            yield pa.RecordBatch.from_pydict({"y": pa.array(labels, pa.int32()), "a": pa.array([v[0] for v in x], pa.float64()), "b": pa.array([v[1] for v in x], pa.float64()), "c": pa.array([v[2] for v in x], pa.float64())})
+            x = [sent().signals(t.as_py(), y) for t, y in zip(b.column(0), labels, strict=True)]
+            yield pa.RecordBatch.from_pydict({"y": pa.array(labels, pa.int32()), **{c: pa.array([v[i] for v in x], pa.float64()) for i, c in enumerate(SIGNALS)}})
+
+    signalled = rows.mapInArrow(seen, "y int, " + ", ".join(f"{c} double" for c in SIGNALS))
+    signalled = materialize(signalled.groupBy("y", *SIGNALS).agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions("y", *SIGNALS), "signals")
+
+    def sums(b: np.ndarray) -> np.ndarray:
+        def partial(it):
+            got = [newton_sums(np.stack([r.column(c).to_numpy() for c in SIGNALS], 1), r.column("y").to_numpy(), r.column("n").to_numpy(), b) for r in it if r.num_rows]
+            yield pa.RecordBatch.from_pydict({"sums": pa.array([g.tolist() for g in got], pa.list_(pa.float64()))})
+
+        return np.array([math.fsum(c) for c in zip(*[r["sums"] for r in signalled.mapInArrow(partial, "sums array<double>").collect()], strict=True)])
 
-    got = rows.select("t", "y").mapInArrow(seen, "y int, a double, b double, c double").toPandas()  # fit_rows rows of four numbers
-    discard(*[x for x in (rows, counted) if hasattr(x, "written_at")])
-    model.b = fit_logistic(got[["a", "b", "c"]].to_numpy(), got["y"].to_numpy(float))
+    model.b = fit_logistic(sums, len(SIGNALS) + 1)
+    discard(rows, counted, signalled)
     return model
 
 
@@ -271,7 +292,7 @@ def held_out(key: Column) -> Column:
 
 def fit_on(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
     """A model of the rows of docs that have a label and aren't held out."""
-    known = labels.filter(~held_out(F.col(key)) & F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.col("toxic").alias("__toxic")).dropDuplicates(["__k"])
+    known = labels.filter(~held_out(F.col(key)) & F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.col("toxic").alias("__toxic")).dropDuplicates(["__k"]).hint("merge")  # labels grow with texts
     return fit(docs.join(known, docs[key] == F.col("__k")).select(docs[key].alias("doc_id"), docs["text"].alias("text"), F.col("__toxic").alias("toxic")))
 
 

@@ -6,6 +6,7 @@ import subprocess
 import sys
 import time
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -387,6 +388,24 @@ def test_toxicity_on_held_out_labels(spark):
     assert {r.score for r in toxicity.score(odd, none).collect()} == {none.score("")}
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """Counts, coefficients and thresholds are those of every labelled row, beyond 20,000 of them as below."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("aeiounrst") for _ in range(5))
+    rows = [(i, " ".join([word(), word(), *(["scumbag"] if i % 10 == 0 and i % 40 else []), *(["1d10t"] if i % 1000 == 7 else [])]), int(i % 10 == 0)) for i in range(30_000)]
+    rows += [(30_001, "no label", None), (30_002, None, 0), (None, "scumbag", 1), (None, "scumbag", 1)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4))
+    known = [r for r in rows if r[2] is not None]
+    assert (model.toxic, model.clean) == (3002, 27_001)
+    assert model.table["scumbag"] == (sum("scumbag" in r[1] for r in known if r[1]), 0)
+    words = Counter(w for _, t, _ in known for w in toxicity.WORD.findall((t or "").lower()))
+    assert model.three == dict(toxicity.trigrams(words)) and model.typical == max(words.values())
+    x, y = np.array([model.signals(t, y) for _, t, y in known]), np.array([y for *_, y in known], float)
+    assert model.b == pytest.approx(toxicity.fit_logistic(lambda b: toxicity.newton_sums(x, y, np.ones(len(y)), b), 4), rel=1e-6)
+    slope = toxicity.newton_sums(x, y, np.ones(len(y)), model.b)[:4] + 0.001 * model.b
+    assert np.abs(slope).max() < 1e-6
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var x = "</p>";</script><style>p{}</style></head><body>
 <header><h1>Site</h1><nav><ul><li><a href=a>Home</a><li><a href=b>About</a></ul></nav></header>
 <div class="cookie-notice">We use cookies on this site, please accept all of them now.</div>
