@@ -1,3 +1,4 @@
+import os
 import random
 from collections import defaultdict
 
@@ -6,6 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from diffquarry.llm import line_dedup, minhash, paragraph_dedup, simhash
+from diffquarry.llm.common import shared_dir
 from diffquarry.llm.components import components
 
 
@@ -222,6 +224,17 @@ def test_hot_bucket(spark, monkeypatch):
     assert sum(compared) < 30 * len(texts)
 
 
+def test_parts_go_once_they_are_read(spark):
+    """Keys, buckets, comparisons and posting lists don't stay in the shared folder; the result is read after they are gone."""
+    folder = f"{shared_dir(spark)}/diffquarry"
+    there = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    texts = hot_variants(60, 60, 4, 3)
+    found = line_dedup.line_classes(spark.createDataFrame(texts, "doc_id long, text string"))
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - there}
+    assert left and not left & {"signed", "keyed", "members", "buckets", "tokens", "postings", "texts", "pairs"}
+    assert found.count() == len(texts)
+
+
 def passages(seed):
     """Texts of which some share 50 to 120 words somewhere in their lines, and those that do."""
     rnd = random.Random(seed)
