@@ -235,6 +235,26 @@ def test_parts_go_once_they_are_read(spark):
     assert found.count() == len(texts)
 
 
+def test_no_keys_are_written(spark, monkeypatch):
+    """What stands in the shared folder while lines are classed is a small multiple of the lines: no key of theirs is written."""
+    folder = f"{shared_dir(spark)}/diffquarry"
+    there = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    written, whole = [], minhash.materialize
+
+    def sized(df, name, *a, **k):
+        made = whole(df, name, *a, **k)
+        new = set(os.listdir(folder)) - there
+        written.append((name, sum(os.path.getsize(f"{d}/{f}") for x in new for d, _, files in os.walk(f"{folder}/{x}") for f in files)))
+        return made
+
+    monkeypatch.setattr(minhash, "materialize", sized)
+    rnd = random.Random(17)
+    rows = [(i, "\n".join(" ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(6)) for _ in range(40))) for i in range(100)]
+    found = line_dedup.line_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert written[0][0] == "lines" and max(n for _, n in written) <= 4 * written[0][1]
+    assert found.filter("keep and members = 1").count() == 4000
+
+
 def passages(seed):
     """Texts of which some share 50 to 120 words somewhere in their lines, and those that do."""
     rnd = random.Random(seed)
