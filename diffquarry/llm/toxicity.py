@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -36,9 +36,13 @@ WORD = re.compile(r"[^\W\d_]+")
 MARKS = re.escape("".join(LEET))
 #: Words with marks inside or in front, with digits or such at the end, or with a letter three times in a row.
 ODD = re.compile(rf"[^\W\d_]*[{MARKS}]+[^\W\d_][^\W_{MARKS}]*(?:[{MARKS}]+[^\W\d_]+)*[0-9@$€£]*|[^\W\d_]+[0-9@$€£]+(?![^\W_])|[^\W\d_]*?([^\W\d_])\1\1[^\W\d_]*")
-MARK, TRIPLE = re.compile(rf"[{MARKS}][^\W\d_]|[^\W\d_][0-9@$€£]"), re.compile(r"([^\W\d_])\1\1")
+#: A mark before a letter or a digit or such after one: with three equal letters in a row, what each match of ODD holds. It begins
+#: with a mark, so that a search passes over letters at once.
+MARK = re.compile(rf"[{MARKS}](?:(?=[^\W\d_])|(?<=[^\W\d_][0-9@$€£]))")
 #: Single characters that blanks or marks hold apart.
 SPACED = re.compile(rf"(?<![^\W_])(?:[^\W_]|[{MARKS}])(?:[ .\-_*~/\\]{{1,3}}(?:[^\W_]|[{MARKS}])){{2,}}(?![^\W_])")
+#: The last two characters of what SPACED finds, which few texts hold.
+TWO_SPACED = re.compile(rf"[ .\-_*~/\\](?:[^\W_]|[{MARKS}])[ .\-_*~/\\]{{1,3}}(?:[^\W_]|[{MARKS}])(?![^\W_])")
 APART = re.compile(r"[ .\-_*~/\\]+")
 
 
@@ -99,6 +103,13 @@ def decode(token: str, model: CharacterModel) -> str:
     return min((cost + model(context, "$"), word) for context, (cost, word) in states.items())[1]
 
 
+def triples(text: str) -> list[str]:
+    """The letters that stand three times in a row somewhere, three times each."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    same = c[1:] == c[:-1]
+    return [3 * x for x in map(chr, np.unique(c[:-2][same[1:] & same[:-1]]).tolist()) if WORD.match(x)]
+
+
 class Restorer:
     """Words of a text with obfuscated ones restored; remembers tokens up to a bound."""
 
@@ -115,11 +126,16 @@ class Restorer:
 
     def __call__(self, text: str) -> set[str]:
         text = text.lower()
-        words = set(WORD.findall(text))
-        for token in set(text.split()):
-            if MARK.search(token) or TRIPLE.search(token):
-                words.update(self.one(m[0]) for m in ODD.finditer(token))
-        for m in SPACED.finditer(text):
+        tokens = set(text.split())  # no match of WORD, MARK or ODD holds white space
+        words = set(filter(str.isalpha, tokens))
+        other = tokens - words
+        mixed = " ".join(other)
+        odd = [t for t in other if MARK.search(t)] if MARK.search(mixed) else []
+        if found := triples(text):
+            odd += [t for t in tokens if any(x in t for x in found)]
+        words.update(WORD.findall(mixed))
+        words.update(self.one(m[0]) for m in ODD.finditer(" ".join(odd)))
+        for m in SPACED.finditer(text) if TWO_SPACED.search(text) else ():
             joined = self.one(APART.sub("", m[0]))
             words.add(joined)
             if self.find:
@@ -127,9 +143,12 @@ class Restorer:
         return words
 
 
-def features(words: set[str]) -> set[str]:
-    """Whole words and word starts, the latter with a hyphen."""
-    return words | {w[:n] + "-" for w in words for n in STARTS if len(w) > n}
+def count_features(words: set[str], into: Counter, starts: dict[int, Counter]) -> None:
+    """Add the words of a document and their starts, by length, each once."""
+    into.update(words)
+    for n in STARTS:
+        words = [w for w in words if len(w) > n]
+        starts[n].update({w[:n] for w in words})
 
 
 def weight(p: float, n: float, toxic: float, clean: float) -> float:
@@ -137,23 +156,18 @@ def weight(p: float, n: float, toxic: float, clean: float) -> float:
     return math.log((p + 0.2) / (toxic + 1)) - math.log((n + 0.5) / (clean + 1))
 
 
-def signals(words: set[str], table: dict[str, tuple[int, int]], openings: set[str], toxic: int, clean: int, own: int | None = None) -> list[float]:
+def signals(words: set[str], weights: dict[str, float], openings: set[str]) -> list[float]:
     """What the classifier sees of the best features of words: the largest weight, how many weigh 3 or more, and the sum of those.
 
-    openings: the first three letters of all features, which most words don't share with any.
-    own: the label of a training row, whose own share in the counts is taken away.
+    openings: the first four letters of all features, three of shorter ones, which most words don't share with any.
     """
-    most, strong, total = 0.0, 0, 0.0
-    for w in words:
-        if w[:3] not in openings:
-            continue
-        best = 0.0
-        for f in (w, *(w[:n] + "-" for n in STARTS if len(w) > n)):
-            if f in table:
-                p, n = table[f]
-                best = max(best, weight(p - (own == 1), max(0, n - (own == 0)), toxic, clean) if p - (own == 1) >= 2 else 0.0)
-        most, strong, total = max(most, best), strong + (best >= 3), total + best * (best >= 3)
-    return [min(most, 6.0), math.log1p(strong), min(total, 20.0) / 4]
+    most, strong = 0.0, []
+    for w in [w for w in words if w[:4] in openings or w[:3] in openings]:
+        best = max(weights.get(w, 0.0), *[weights.get(w[:n] + "-", 0.0) for n in STARTS if len(w) > n], 0.0)
+        most = max(most, best)
+        if best >= 3:
+            strong.append(best)
+    return [min(most, 6.0), math.log1p(len(strong)), min(math.fsum(strong), 20.0) / 4]
 
 
 def newton_sums(x: np.ndarray, y: np.ndarray, n: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -182,11 +196,19 @@ class Model:
 
     def __init__(self, three: dict[str, float], typical: float, table: dict[str, tuple[int, int]], toxic: int, clean: int):
         self.three, self.typical, self.table, self.toxic, self.clean, self.b = three, typical, table, toxic, clean, np.array([0.0, 0.0, 0.0, -2.0])
-        self.openings = {f[:3] for f in table}
+        self.openings = {f[:4].rstrip("-") for f in table}
         self.restore: Restorer | None = None
+        self.by_label: dict[int | None, dict[str, float]] = {}
 
     def __getstate__(self):
-        return vars(self) | {"restore": None}
+        return vars(self) | {"restore": None, "by_label": {}}
+
+    def weights(self, own: int | None) -> dict[str, float]:
+        """The weight of each feature. own: the label of a training row, whose own share in the counts is taken away."""
+        if own not in self.by_label:
+            counts = {f: (p - (own == 1), max(0, n - (own == 0))) for f, (p, n) in self.table.items()}
+            self.by_label[own] = {f: weight(*c, self.toxic, self.clean) for f, c in counts.items() if c[0] >= 2}
+        return self.by_label[own]
 
     def words_of(self, text: str) -> set[str]:
         if self.restore is None:
@@ -196,7 +218,7 @@ class Model:
         return self.restore(text)
 
     def signals(self, text: str | None, own: int | None = None) -> list[float]:
-        return signals(self.words_of(text or ""), self.table, self.openings, self.toxic, self.clean, own)
+        return signals(self.words_of(text or ""), self.weights(own), self.openings)
 
     def score(self, text: str | None) -> float:
         x = self.signals(text)
@@ -204,22 +226,30 @@ class Model:
 
 
 def _counts(it):
-    """(kind, item, p, n): documents of either label that hold a feature; and word counts."""
-    held, words = defaultdict(lambda: [0, 0]), Counter()
+    """(kind, item, p, n): documents of either label that hold a feature, a whole word or, with a hyphen, a word's start; and
+    word counts."""
+    wholes, starts, words = (Counter(), Counter()), tuple({n: Counter() for n in STARTS} for _ in range(2)), Counter()
 
     def flush():
-        items = [(0, f, *c) for f, c in held.items()] + [(1, w, n, 0) for w, n in words.items()]
-        held.clear()
+        items, p, n = [], [], []
+        for label, whole, of in zip((0, 1), wholes, starts, strict=True):
+            for held, end in [(whole, ""), *((c, "-") for c in of.values())]:
+                items += [f + end for f in held] if end else held
+                (p if label else n).extend(held.values())
+                (n if label else p).extend([0] * len(held))
+                held.clear()
+        kinds = [0] * len(items) + [1] * len(words)
+        made = [pa.array(kinds, pa.int32()), pa.array([*items, *words], pa.string()), pa.array([*p, *words.values()], pa.int64()), pa.array(n + [0] * len(words), pa.int64())]
         words.clear()
-        return pa.RecordBatch.from_pydict({"kind": pa.array([x[0] for x in items], pa.int32()), "item": pa.array([x[1] for x in items], pa.string()), "p": pa.array([x[2] for x in items], pa.int64()), "n": pa.array([x[3] for x in items], pa.int64())})
+        return pa.RecordBatch.from_arrays(made, names=["kind", "item", "p", "n"])
 
     for b in it:
         for text, label in zip(b.column(0), b.column(1).to_pylist(), strict=True):
             found = WORD.findall((text.as_py() or "").lower())
             words.update(found)
-            for f in features(set(found)):
-                held[f][0 if label else 1] += 1
-            if len(held) > 400_000:
+            label = 1 if label else 0
+            count_features(set(found), wholes[label], starts[label])
+            if sum(len(c) for x in (*starts, dict(enumerate(wholes))) for c in x.values()) > 400_000:
                 yield flush()
     yield flush()
 

@@ -328,6 +328,29 @@ def test_decoding():
     assert restore("") == set()
 
 
+def test_plain_texts_are_not_searched_for_oddities(monkeypatch):
+    """The costly patterns run only where they may match, and find what they find in whole texts."""
+    restore = toxicity.Restorer(toxicity.trigrams({"idiot": 9, "stupid": 9, "hello": 9}), frozenset(("idiot", "stupid")))
+    rnd = random.Random(8)
+    for _ in range(3000):
+        text = "".join(rnd.choice("aaiot 01@$!|*€(#._-~/\\²Ⅷ٣ªß\n\u3000İ") for _ in range(rnd.randrange(30)))
+        low = text.lower()
+        want = {*toxicity.WORD.findall(low), *(restore.one(m[0]) for t in low.split() for m in toxicity.ODD.finditer(t))}
+        for m in toxicity.SPACED.finditer(low):
+            joined = restore.one(toxicity.APART.sub("", m[0]))
+            want |= {joined, *restore.find.findall(joined)}
+        assert restore(text) == want, text
+
+    class Refused:
+        def finditer(self, text):
+            assert not text
+            return ()
+
+    monkeypatch.setattr(toxicity, "SPACED", Refused())
+    monkeypatch.setattr(toxicity, "ODD", Refused())
+    assert restore("A plain text, with a comma, well-made, 12 numbers... and a line\nin it") >= {"plain", "comma", "well", "made", "numbers", "line"}
+
+
 def test_viterbi_against_all_paths():
     """The decoded word is the cheapest of all that the lattice allows."""
     rnd = random.Random(6)
