@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import kept, shared_dir, table
 
 #: White space at which a text can't be cut without changing its pieces: two in a row, and all but spaces and line ends.
 ODD_SPACE = ["  ", " \n", "\n ", "\n\n", *(chr(c) for c in range(0x10000) if chr(c).isspace() and chr(c) not in " \n")]
@@ -92,13 +92,10 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder per worker process, kept beside the library that it wraps."""
-    import tokenizers
-
-    kept = vars(tokenizers).setdefault("_encoders_by_path", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    """One encoder per worker process, see kept()."""
+    if path not in kept():
+        kept()[path] = Encoder(path)
+    return kept()[path]
 
 
 def _tokens(path: str, end_id: int, key: str, batch: int = 256):

@@ -1,3 +1,5 @@
+import gc
+import weakref
 import zlib
 
 import numpy as np
@@ -7,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from diffquarry.llm import mixing, token_store
+from diffquarry.llm.common import send
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -118,3 +121,16 @@ def test_store_round_trip(spark, tmp_path):
     assert all(crc[r.doc_id, r.start] == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in rows)
     empty = token_store.store(spark.createDataFrame([], "doc_id long, text string"), token_store.vocabulary())
     assert token_store.with_crc(empty).count() == 0
+
+
+def test_remembered_pieces_go_when_another_stage_begins(spark):
+    """A worker that runs a stage with a model of its own doesn't hold the pieces of an earlier one beside it."""
+    path = token_store.vocabulary()
+    held = weakref.ref(token_store.encoder(path))
+    assert token_store.encoder(path) is held()
+    get = send(spark, "a model")
+    assert held() is not None and get() == "a model"
+    gc.collect()
+    assert held() is None
+    held = weakref.ref(token_store.encoder(path))
+    assert get() == "a model" and token_store.encoder(path) is held()
