@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from diffquarry.llm import line_dedup, minhash, paragraph_dedup, simhash
+from diffquarry.llm import common, line_dedup, minhash, paragraph_dedup, simhash
 from diffquarry.llm.common import shared_dir
 from diffquarry.llm.components import components
 
@@ -235,6 +235,29 @@ def test_parts_go_once_they_are_read(spark):
     assert found.count() == len(texts)
 
 
+def spied(monkeypatch):
+    """Rows of each table that is written, by name."""
+    wrote, real = defaultdict(list), common.materialize
+
+    def spy(df, name, *a, **how):
+        wrote[name].append(df.count())
+        return real(df, name, *a, **how)
+
+    for module in (common, minhash, paragraph_dedup):
+        monkeypatch.setattr(module, "materialize", spy)
+    return wrote
+
+
+def test_lines_are_shuffled_in_parts(spark, monkeypatch):
+    """Different lines don't come from one shuffle of all lines; equal ones are in one part, and ids differ."""
+    wrote = spied(monkeypatch)
+    docs = spark.createDataFrame([(i, "\n".join(f"line {j} of {i % 40} texts" for j in range(i % 40, i % 40 + 6))) for i in range(120)], "doc_id long, text string")
+    places, units = minhash.split_units(docs, "doc_id", "text", line_dedup.normal_line)
+    rows = units.collect()
+    assert places.count() == 720 and len(rows) == len({r.id for r in rows}) == len({r.text for r in rows}) == 240 and {r.n for r in rows} == {3}
+    assert len(wrote["units"]) > 1 and sum(wrote["units"]) == 240 and max(wrote["units"]) < 192
+
+
 def test_no_keys_are_written(spark, monkeypatch):
     """What stands in the shared folder while lines are classed is a small multiple of the lines: no key of theirs is written."""
     folder = f"{shared_dir(spark)}/diffquarry"
