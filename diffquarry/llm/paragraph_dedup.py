@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BLANKS, discard, free_shuffles, materialize
+from .common import BLANKS, by_parts, discard, free_shuffles, materialize
 from .common import table as read
 from .minhash import first_place, place_of, tune, unit_classes, word_hashes
 
@@ -156,11 +156,16 @@ def paragraph_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def _windows(table: DataFrame, key: str) -> DataFrame:
-    """See repeated_windows; the windows of table are gone afterwards."""
-    made = table.filter("kind = 1").select("k", F.col("unit").alias("at"), "h1", "h2", place_of("k", "unit").alias("place"))
-    seen = made.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first < last").drop("last")
-    found = made.join(seen, ["h1", "h2"]).select("k", "at", *first_place("first", "first_key", "first_at"), (F.col("place") == F.col("first")).alias("keep")).drop("first_at").distinct()
-    found = materialize(found, "repeats").withColumnRenamed("k", key)
+    """See repeated_windows; the windows of table are gone afterwards. Rows may repeat if a key has several texts."""
+
+    def repeated(made: DataFrame, _: int) -> DataFrame:
+        place = place_of("k", "at")
+        seen = made.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").drop("last")
+        found = made.join(seen, ["h1", "h2"]).select("k", "at", *first_place("first", "first_key", "first_at"), (place == F.col("first")).alias("keep"))
+        return found.drop("first_at").distinct()
+
+    made = table.filter("kind = 1").select("k", F.col("unit").alias("at"), "h1", "h2")
+    found = by_parts(made, "h1", repeated, "repeats").withColumnRenamed("k", key)
     discard(table, part="/kind=1")
     free_shuffles(table.sparkSession)
     return found
@@ -175,7 +180,7 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     as one text, so a passage that only they share isn't repeated. An empty table gives an empty result. Hot windows are
     added up before they are shuffled.
     """
-    return _windows(_scan(docs, key, text, span=span, least=least), key)
+    return _windows(_scan(docs, key, text, span=span, least=least), key).distinct()
 
 
 def _covered(spans: DataFrame, span: int, name: str) -> DataFrame:

@@ -258,6 +258,14 @@ def test_lines_are_shuffled_in_parts(spark, monkeypatch):
     assert len(wrote["units"]) > 1 and sum(wrote["units"]) == 240 and max(wrote["units"]) < 192
 
 
+def test_windows_are_shuffled_in_parts(spark, monkeypatch):
+    wrote = spied(monkeypatch)
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % 20}x{j}" for j in range(90))) for i in range(40)], "doc_id long, text string")
+    found = paragraph_dedup.repeated_windows(docs).collect()
+    assert {(r.doc_id, r.first_key, r.keep) for r in found} == {(i, i % 20, i < 20) for i in range(40)}
+    assert len(wrote["repeats"]) > 1 and sum(wrote["repeats"]) == len(found) and max(wrote["repeats"]) < 0.8 * len(found)
+
+
 def test_no_keys_are_written(spark, monkeypatch):
     """What stands in the shared folder while lines are classed is a small multiple of the lines: no key of theirs is written."""
     folder = f"{shared_dir(spark)}/diffquarry"
