@@ -286,6 +286,27 @@ def test_no_keys_are_written(spark, monkeypatch):
     assert found.filter("keep and members = 1").count() == 4000
 
 
+def test_lines_are_not_sorted(spark, monkeypatch):
+    """Lines are brought together by hashing, not by sorting their texts; keys that are compiled are those of band_keys."""
+    plans, real = [], common.materialize
+
+    def spy(df, name, *a, **how):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, name, *a, **how)
+
+    for module in (common, minhash):
+        monkeypatch.setattr(module, "materialize", spy)
+    rnd = random.Random(23)
+    lines = [" ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)) for n in range(1, 60)] + ["x", "-" * 90, "\u4e2d" * 30, "d" * 8 + "g" * 8]
+    docs = spark.createDataFrame([(i, "\n".join(lines[i:])) for i in range(3)], "doc_id long, text string")
+    places, units = minhash.split_units(docs, "doc_id", "text", line_dedup.normal_line)
+    assert units.count() == len(lines) and not [name for name, plan in plans if name == "units" and "SortAggregate" in plan]
+    hashes, few = minhash.character_hashes(F.col("text"), 8), minhash.anchored_hashes(F.col("text"), 8)
+    want = units.select("id", "n", F.size(F.array_distinct(few)).alias("m"), minhash.band_keys(hashes, 15, 3).alias("a"), minhash.band_keys(few, 15, 3).alias("f")).collect()
+    want = sorted((r.id, r.n, k) for r in want for k in (r.a if r.m < 16 else []) + (r.f if r.m >= 8 else []))
+    assert sorted(map(tuple, minhash.sampled_keys(units, 8, 15, 3).collect())) == want
+
+
 def passages(seed):
     """Texts of which some share 50 to 120 words somewhere in their lines, and those that do."""
     rnd = random.Random(seed)
