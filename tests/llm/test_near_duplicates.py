@@ -307,6 +307,42 @@ def test_lines_are_not_sorted(spark, monkeypatch):
     assert sorted(map(tuple, minhash.sampled_keys(units, 8, 15, 3).collect())) == want
 
 
+def test_few_keys_find_pairs(spark):
+    """Sets of 24 hashes or more have 8 keys at most, smaller ones 16; pairs of sets at 0.8 nearly all have one in common."""
+    rnd, rows = random.Random(41), []
+    for n in (10, 15, 20, 25, 40, 150):  # of a pair's union, 0.8 is common
+        for _ in range(300):
+            u = [rnd.randrange(-(1 << 63), 1 << 63) for _ in range(n)]
+            common, one = n * 4 // 5, n * 9 // 10
+            rows.append((n, u[:one], u[:common] + u[one:]))
+    sets = spark.createDataFrame(rows, "n int, x array<long>, y array<long>")
+    got = sets.select("n", F.size("x").alias("size"), minhash.band_keys(F.col("x"), 15, 3).alias("x"), minhash.band_keys(F.col("y"), 15, 3).alias("y")).collect()
+    assert max(len(r.x) for r in got if r["size"] >= 24) <= 8 and max(len(r.x) for r in got) <= 16
+    assert all(np.mean([bool(set(r.x) & set(r.y)) for r in got if r.n == n]) >= 0.985 for n in (10, 15, 20, 25, 40, 150))
+    assert minhash.tune_spread(0.8, 3, 0.99) == minhash.tune(0.8, 3, 0.99) == 15
+    assert 1 - (1 - 0.5**3) ** ((minhash.tune_spread(0.5, 3, 0.99) + 1) // 2) >= 0.99
+
+
+def test_keys_are_not_sorted(spark, monkeypatch):
+    """Buckets of several members are found by hashing, from one shuffle of all keys; pivots are the most frequent members."""
+    made, real = [], minhash.materialize
+
+    def spy(df, name, *a, **how):
+        if name == "buckets":
+            made.append((df.collect(), df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, name, *a, **how)
+
+    monkeypatch.setattr(minhash, "materialize", spy)
+    rnd = random.Random(43)
+    rows = [(i, rnd.randrange(1, 4), rnd.randrange(900)) for i in range(1200)]
+    minhash._pivots(spark.createDataFrame(rows, "id long, n long, band long"))
+    (got, plan), buckets = made[0], defaultdict(list)
+    for i, n, band in rows:
+        buckets[band].append((-n, i))
+    assert sorted(map(tuple, got)) == sorted((b, i, -n, min(m)[1], len(m) > minhash.SMALL) for b, m in buckets.items() if len(m) > 1 for n, i in m)
+    assert "ShuffledHashJoin" in plan and "ReusedExchange" in plan
+
+
 def passages(seed):
     """Texts of which some share 50 to 120 words somewhere in their lines, and those that do."""
     rnd = random.Random(seed)
